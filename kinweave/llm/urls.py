@@ -1,0 +1,115 @@
+"""URL filter: host and path rules, and logistic regression on hashed character n-grams for the rest.
+
+The host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the path goes on up
+to `?`, `#` or the end. A null url, or one without `://`, has both empty, fits no rule and gets the method's
+verdict on no n-grams. Repeated rows are judged alike; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+#: The small labelled table, 1 for hosts and paths to block.
+LABELLED = {
+    1: """casino-royal.example.com/en/12 grand-casino.example.net/play casinowin.example.org/en/7 m.win-big.example.com/de/3
+    www.poker-bonus.example.com/fr/9 online-slots.example.net/en/1.html free-spins.example.org/es/2 bets-now.example.com/en/55
+    sports-betting.example.net/en/8 free-bet.example.com/de/12 jackpot-win.example.org/fr/3 blog.lotto-win.example.com/en/4
+    cheap-meds.example.com/de/66 pills-online.example.net/en/2 cheap-viagra.example.org/buy pharmacy-cheap.example.com/en/9
+    buy-cialis.example.net/fr/1 diet-pills.example.com/es/3 weight-loss-pills.example.org/en/5 www.cheap-tabs.example.com/fr/6
+    payday-loan.example.com/en/14 fast-loans.example.net/de/5 quick-cash.example.org/en/1 free-money.example.com/es/8
+    replica-watches.example.net/en/3 cheap-watches.example.com/fr/4 xxx-cams.example.com/en/2 hot-porn.example.net/de/7
+    adult-dating.example.org/en/4 sexy-singles.example.com/fr/2 free-download-crack.example.net/en/6 get-followers.example.com/en/9
+    crypto-doubler.example.org/en/3 click-here-win.example.com/es/1 free-iphone.example.net/en/4 casino.example.com/en/5""",
+    0: """tionsh.example.com/en/825 www.theron.example.org/de/712.html blog.thther.example.net/en/1 m.ththon.example.net/en/742
+    ththing.example.com/es/249 thering.example.com/en/328 blog.theres.example.com/fr/417 www.library.example.org/en/3
+    news.example.com/en/2024 museum.example.net/de/archive university.example.org/fr/physics recipes.example.com/es/44
+    m.weather.example.net/en/9 blog.garden.example.com/en/17 www.history.example.org/de/5 science.example.net/en/88.html
+    travel.example.com/fr/12 docs.python.example.org/en/library music.example.net/es/6 school.example.com/en/31
+    www.city-council.example.org/en/2 hospital.example.net/fr/4 blog.cooking.example.com/de/71 sport-news.example.org/en/8
+    ththand.example.net/fr/90 tiontion.example.com/en/15 www.ernt.example.net/de/21 m.onouthe.example.org/en/6
+    blog.edstre.example.com/es/33 halythe.example.net/en/507 reingly.example.org/fr/18 www.atnded.example.com/en/64
+    post-office.example.org/en/5 film-review.example.com/en/7 open-source.example.net/de/9 field-notes.example.org/fr/2""",
+}
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+#: Rules are tried in one expression; longer lists are refused.
+MOST_RULES = 1000
+
+
+def parts(url) -> tuple[F.Column, F.Column]:
+    """(host, path) of a url column."""
+    pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    host, path = (F.coalesce(F.regexp_extract(url, pattern, i), F.lit("")) for i in (1, 2))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(host, upper, upper.lower()), path
+
+
+def rule_of(host, path, rules: Iterable[tuple[str, str]] = RULES) -> tuple[F.Column, F.Column]:
+    """(rule, verdict) of the longest fitting rule, null where none fits; of equal lengths the first."""
+    rules = sorted(rules, key=lambda r: -len(r[1]))
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    rule = verdict = F.lit(None).cast("string")
+    for what, text in reversed(rules):
+        name, _, start = text.partition("/")
+        fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(f"/{start}")
+        rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
+    return rule, verdict
+
+
+def grams(host: str, path: str, width: int, sizes=(3, 4, 5)) -> np.ndarray:
+    """Hashed n-grams of host and path, each set once; host and path have grams of their own."""
+    found = set()
+    for kind, text in ((b"h", host), (b"p", path)):
+        if text:
+            raw = b"^" + text.encode("utf-8", "surrogatepass") + b"$"
+            found.update(zlib.crc32(kind + raw[i : i + n]) % width for n in sizes for i in range(len(raw) - n + 1))
+    return np.fromiter(found, np.int64, len(found))
+
+
+class UrlModel:
+    """Logistic regression, fitted by gradient descent on a small labelled table of urls without scheme."""
+
+    def __init__(self, labelled: Iterable[tuple[str, int]] | None = None, width: int = 1 << 15, steps: int = 300, rate: float = 2.0, decay: float = 1e-3):
+        rows = [(u, y) for y, text in LABELLED.items() for u in text.split()] if labelled is None else list(labelled)
+        x = np.zeros((len(rows), width), np.float32)
+        for i, (u, _) in enumerate(rows):
+            host, slash, path = u.partition("/")
+            g = grams(host, slash + path, width)
+            x[i, g] = 1 / np.sqrt(max(1, len(g)))
+        used = np.flatnonzero(x.any(axis=0))
+        x, y = x[:, used], np.array([y for _, y in rows], np.float32)
+        w, b = np.zeros(len(used), np.float32), 0.0
+        for _ in range(steps):
+            off = 1 / (1 + np.exp(-(x @ w + b))) - y
+            w -= rate * (x.T @ off / max(1, len(y)) + decay * w)
+            b -= rate * float(off.mean()) if len(y) else 0.0
+        self.width, self.bias, self.weights = width, b, np.zeros(width, np.float32)
+        self.weights[used] = w
+
+    def score(self, host: str, path: str) -> float:
+        """Probability of block; 0 for an empty host."""
+        g = grams(host, path, self.width)
+        return float(1 / (1 + np.exp(-(self.weights[g].sum() / np.sqrt(len(g)) + self.bias)))) if host else 0.0
+
+
+def judge(pages: DataFrame, rules=RULES, model: UrlModel | None = None, threshold: float = 0.5, url: str = "url") -> DataFrame:
+    """`pages` with host, path, rule, url_score (null where a rule decides) and verdict."""
+    model = model or UrlModel()
+
+    @pandas_udf("double")
+    def scored(host: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([model.score(h, p) for h, p in zip(host, path, strict=True)], dtype="float64")
+
+    host, path = parts(F.col(url))
+    rows = pages.withColumn("host", host).withColumn("path", path)
+    rule, said = rule_of(F.col("host"), F.col("path"), rules)
+    rows = rows.withColumn("rule", rule).withColumn("_said", said).withColumn("url_score", scored("host", "path"))
+    verdict = F.coalesce("_said", F.when(F.col("url_score") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
+    return rows.withColumn("verdict", verdict).withColumn("url_score", F.when(F.col("rule").isNull(), F.col("url_score"))).drop("_said")
