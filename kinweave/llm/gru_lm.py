@@ -242,7 +242,7 @@ class Gru:
                 dh[i] += d @ self.ww[span]
         return (lp, dh, grads) if learn else lp
 
-    def score(self, docs: list[np.ndarray], window: int = 32, slab: int = 1 << 15) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], window: int = 32, slab: int = 1 << 13) -> np.ndarray:
         """Log10 probability of each whole document; all documents go on together, their states carried from window to window."""
         if not docs:
             return np.zeros(0)
@@ -357,7 +357,7 @@ def _average(models: DataFrame) -> np.ndarray | None:
     return sum(np.frombuffer(r["model"], np.float32) * r["n"] for r in got) / sum(r["n"] for r in got)
 
 
-def train(coded: DataFrame, words: Words, rounds: int = 3, share: float = 1 / 16, least_tokens: int = 600_000, width: int = 16) -> Gru:
+def train(coded: DataFrame, words: Words, rounds: int = 4, share: float = 1 / 12, least_tokens: int = 2_000_000, width: int = 16) -> Gru:
     """Data-parallel training: in each round every task goes on from the mean of the last round's models.
 
     The counts, and through them the starting biases, come from all training documents. Gradients come from
@@ -369,7 +369,7 @@ def train(coded: DataFrame, words: Words, rounds: int = 3, share: float = 1 / 16
     for k in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
-        def learn(batches, now=now, rate=0.02 / (1 + k)):
+        def learn(batches, now=now, rate=0.012 / (1 + 0.5 * k)):
             import copy
 
             own, docs = copy.deepcopy(now.value), []
