@@ -28,7 +28,7 @@ from .simhash import LOWER
 END = xxhash.xxh64_intdigest(b"\n") - (1 << 63)
 CLASS = 64
 #: A chunk is closed at so many different words or tokens: what a task holds, for any input.
-CHUNK_WORDS, CHUNK_TOKENS = 500_000, 4_000_000
+CHUNK_WORDS, CHUNK_TOKENS = 350_000, 2_500_000
 
 
 def _with(id_type: T.DataType, fields: str) -> T.StructType:
