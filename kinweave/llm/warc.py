@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -197,10 +197,10 @@ def captures(pages: DataFrame, least: int = 100, **how) -> DataFrame:
     rows = assemble(small, payload=False)
     rows = rows.select("capture_id", F.expr("try_cast(nullif(metadata[0].page, '') as bigint)").alias("page_id"), "response.*")
     rows = rows.select("capture_id", "page_id", "type", "refers_to", "payload_bytes", "found_digest", "payload_digest")
-    seen = Window.partitionBy("_id").orderBy("_page")
-    first = rows.filter("type = 'response'").select(F.col("capture_id").alias("_id"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("found_digest").alias("_digest"))
-    first = first.withColumn("_turn", F.row_number().over(seen)).filter("_turn = 1").drop("_turn")
-    both = rows.join(first, F.col("refers_to") == F.col("_id"), "left")
+    first = rows.filter("type = 'response'").groupBy(F.col("capture_id").alias("_id")).agg(F.min(F.struct("page_id", "payload_bytes", "found_digest")).alias("_f"))
+    first = first.select("_id", F.col("_f.page_id").alias("_page"), F.col("_f.payload_bytes").alias("_bytes"), F.col("_f.found_digest").alias("_digest"))
+    # a response meets itself, so that no single key gathers all of them
+    both = rows.join(first, F.coalesce("refers_to", "capture_id") == F.col("_id"), "left")
     again = F.col("type") == "revisit"
     return both.select(
         "page_id", F.when(again, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
