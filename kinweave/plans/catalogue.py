@@ -190,7 +190,7 @@ _LINK = f"WITH {KINDS}, pf AS ({_PF}), blocked AS ({_BLOCK})"
 
 
 def _pairs(p: DataFrame) -> DataFrame:
-    return linkage.block(linkage.person_features(p), NARROW)
+    return linkage.block(cluster.held(linkage.person_features(p)), NARROW)
 
 
 @query(f"{_LINK} SELECT id_l, id_r, match_key FROM blocked", "person_row")
@@ -242,7 +242,7 @@ def tf_table(p):
     "person_row",
 )
 def tf_adjusted(p):
-    f = linkage.person_features(p)
+    f = cluster.held(linkage.person_features(p))
     s = linkage.score(linkage.compare(linkage.block(f, NARROW), NARROW), NARROW, terms={"name_norm": linkage.term_frequencies(f, "name_norm")})
     return s.select(F.col("l_unique_id").alias("id_l"), F.col("r_unique_id").alias("id_r"), F.round("match_weight", 6).alias("match_weight"))
 
