@@ -50,3 +50,14 @@ def word_count(text) -> F.Column:
 def in_buckets(key, every: int, seed: int) -> F.Column:
     """A seeded bucket 0..every-1 of a row, the same in each run."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(every))
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, size: str, total: int, most: int = 1000) -> DataFrame:
+    """Inner join of rows with `side`, which has one row per `key` and the number of rows that share it in `size`.
+
+    A key that holds more than 1/most of all rows is hot; there are fewer than `most` of them, so they are
+    sent to the tasks, and no task gathers a hot key. The rest is joined by key."""
+    least = max(1, total // most)
+    hot, cold = side.filter(F.col(size) > least), side.filter(F.col(size) <= least)
+    few = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(few, key, "left_anti").join(cold, key))

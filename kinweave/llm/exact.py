@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE, Scratch, join_hot
 
 ROWS_PER_SENDER = 50_000
 
@@ -107,7 +107,7 @@ def find(docs: DataFrame) -> DataFrame:
     groups = texts.groupBy("bare").agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("keep"))
     groups = hold.save(groups.select(F.sha2("bare", 256).alias("sha"), "group_size", F.col("keep.doc_id").alias("keep_id"), (-F.col("keep.n")).cast("long").alias("keep_points")), "groups")
     alone = rows.filter("not suspect").select("doc_id", "n_points", "h", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    both = rows.filter("suspect").drop("suspect").join(groups, "sha")
+    both = join_hot(rows.filter("suspect").drop("suspect"), groups, "sha", "group_size", rows.count())
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
     away = both.filter(~stays).withColumn("kept", F.lit(False))
     # rows repeated as they are: one of them stays

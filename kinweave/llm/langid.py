@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -93,13 +93,21 @@ class LanguageModel:
 
 
 def fit(train: DataFrame, rows_per_lang: int = ROWS_PER_LANG, rows: int = ROWS, **how) -> LanguageModel:
-    """From text and lang of `train`: of each language the `rows_per_lang` rows of least hash, `rows` in all."""
+    """From text and lang of `train`: of each language about `rows_per_lang` rows by hash, at most `rows` in all.
+
+    Languages are counted first, and each keeps the share of its hashes that its bound allows, so a task sends
+    few rows whatever the input; languages are few, as the model has a codeword for each."""
     known = train.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    key = F.xxhash64(F.lit(29), "doc_id")
-    some = known.select("doc_id", "text", "lang", key.alias("h")).withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return LanguageModel(np.zeros((0, WIDTH)), [], **how)
+    each = min(rows_per_lang, max(1, rows // len(counts)))
+    shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.5 * each / n + 20 / n))])
+    place = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    some = known.withColumn("_h", place).filter(F.col("_h") < F.element_at(shares, F.col("lang")))
     packed = pandas_udf(lambda s: pd.Series([None if (v := vector(t)) is None else v.tobytes() for t in s]), "binary")
-    some = some.filter(F.col("turn") <= rows_per_lang).select("lang", "turn", packed("text").alias("x")).filter("x is not null")
-    got = some.orderBy("turn", "lang").limit(rows).toPandas()
+    got = some.select("doc_id", "lang", "_h", packed("text").alias("x")).filter("x is not null").toPandas()
+    got = got.sort_values(["_h", "doc_id", "lang"], kind="stable").groupby("lang", sort=True).head(each)
     x = np.array([np.frombuffer(b, np.float32) for b in got["x"]]).reshape(-1, WIDTH)
     return LanguageModel(x, got["lang"].tolist(), **how)
 

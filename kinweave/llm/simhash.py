@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch
+from .common import Scratch, join_hot
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BATCH = 1 << 16
@@ -158,13 +158,13 @@ def find(docs: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:
     """One row per row of `docs`: doc_id, fp (signed 64 bits), component_id."""
     hold = Scratch(docs.sparkSession)
     rows = hold.save(docs.select("doc_id", fingerprint("text").alias("fp")), "fingerprints")
-    distinct = hold.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = hold.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
     found = hold.save(links(distinct, distance, blocks), "links")
     roots = components(found, hold)
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = hold.save(named.join(ids, "root").select("fp", "component_id"), "components")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = hold.save(named.join(ids, "root").select("fp", "rows", "component_id"), "components")
+    return join_hot(rows, by_fp, "fp", "rows", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
