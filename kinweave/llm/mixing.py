@@ -30,7 +30,8 @@ def apportion(leaves: DataFrame, group: str, leaf: str, weight: str, seats: str)
 
     Rounding by the mean quotient is off by at most half the number of leaves; the seats missing are
     given to the highest next quotients, the excess is taken from the lowest last ones. A leaf's seats
-    change by at most 1 + x*n/2m, so the candidates are about twice the leaves. Ties: smaller leaf.
+    change by at most 1 + x*n/2m, so the candidates are about twice the leaves. Ties: the smaller leaf (a number)
+    is first to gain and last to lose.
     Zero weights get no seat.
     """
     w = Window.partitionBy(group)
@@ -45,7 +46,7 @@ def apportion(leaves: DataFrame, group: str, leaf: str, weight: str, seats: str)
     seat = F.when(F.col("_e") > 0, F.col("_a") + F.col("_j")).otherwise(F.col("_a") - F.col("_j") + 1)
     tried = tried.withColumn("_s", seat).withColumn("_ok", F.col("_j").isNotNull() & (F.col("_s") >= 1))
     quotient = F.col(weight) / (2 * F.col("_s") - 1)
-    order = Window.partitionBy(group).orderBy(F.col("_ok").desc(), F.when(F.col("_e") > 0, -quotient).otherwise(quotient), F.col(leaf))
+    order = Window.partitionBy(group).orderBy(F.col("_ok").desc(), F.when(F.col("_e") > 0, -quotient).otherwise(quotient), F.when(F.col("_e") > 0, F.col(leaf)).otherwise(-F.col(leaf)))
     hit = (F.col("_ok") & (F.row_number().over(order) <= F.abs(F.col("_e")))).cast("long")
     done = tried.withColumn("_hit", hit).groupBy(*keep, "_a", "_e").agg(F.sum("_hit").alias("_hits"))
     return done.select(*keep, (F.col("_a") + F.signum(F.col("_e")).cast("long") * F.col("_hits")).cast("long").alias("quota"))
