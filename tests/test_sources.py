@@ -68,3 +68,22 @@ def test_stream_and_audit(spark, tmp_path):
     with audit.Timer(spark, "similarity", "block", str(tmp_path / "runs")) as t:
         pass
     assert t.seconds >= 0 and spark.read.parquet(str(tmp_path / "runs")).filter(F.col("ok")).count() == 1
+
+
+def test_rest(spark):
+    from kinweave.sources import rest
+
+    data = [{"Census_Year": 1901 + 10 * (i % 2), "TOWNLAND": f" Upper  {i}", "ded": None} for i in range(25)]
+    failed, waited = [], []
+
+    def fetch(limit, offset):
+        if offset == 10 and len(failed) < 2:
+            failed.append(1)
+            raise OSError("again")
+        return data[offset : offset + limit]
+
+    got = rest.census(spark, fetch, 1901, ["census_year", "townland", "ded"], size=10, sleep=waited.append)
+    assert got.count() == 13 and got.filter("townland_clean = 'upper 2'").count() == 1 and waited[1:3] == [1.0, 2.0]
+    child = [{"ID": 2, "nameEN": "Drum", "category": "Townland", "latitude": "54.5"}]
+    found = rest.places(spark, {"id": 1, "name_en": "Parish", "place_type": "civil parish"}, lambda n, o: child[o : o + n])
+    assert {(r.logainm_id, r.place_type, r.parent_id) for r in found.collect()} == {(1, "civil_parish", None), (2, "townland", 1)}
