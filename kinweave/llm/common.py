@@ -32,8 +32,8 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/kinweave-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        df.write.option("compression", compression).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:

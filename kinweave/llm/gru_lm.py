@@ -29,6 +29,8 @@ END = xxhash.xxh64_intdigest(b"\n") - (1 << 63)
 CLASS = 64
 #: A chunk is closed at so many different words or tokens: what a task holds, for any input.
 CHUNK_WORDS, CHUNK_TOKENS = 350_000, 2_500_000
+#: Documents of about so many tokens are scored together.
+SCORE_TOKENS = 4_000_000
 
 
 def _with(id_type: T.DataType, fields: str) -> T.StructType:
@@ -249,9 +251,9 @@ class Gru:
         size = np.array([len(d) for d in docs])
         order = np.argsort(-size, kind="stable")
         size = size[order]
-        flat = np.concatenate([docs[i] for i in order]).astype(np.int64)
+        flat = np.concatenate([docs[i] for i in order])
         starts = np.cumsum(size) - size
-        before = np.concatenate([[0], flat[:-1]])
+        before = np.roll(flat, 1)
         before[starts[size > 0]] = self.end
         total, h = np.zeros(len(docs)), np.zeros((len(docs), self.width), np.float32)
         for t0 in range(0, int(size[0]), window):
@@ -267,7 +269,7 @@ class Gru:
                 targets.append(flat[at])
                 lanes.append(np.arange(on))
                 if sum(map(len, lanes)) >= slab or t + 1 == min(t0 + window, int(size[0])):
-                    lp = self.outputs(np.concatenate(states), np.concatenate(targets))
+                    lp = self.outputs(np.concatenate(states), np.concatenate(targets).astype(np.int64))
                     total[:live] += np.bincount(np.concatenate(lanes), weights=lp, minlength=live)
                     states, targets, lanes = [], [], []
         out = np.zeros(len(docs))
@@ -276,7 +278,7 @@ class Gru:
 
     def train(self, docs: list[np.ndarray], lanes: int = 64, window: int = 16, rate: float = 0.01) -> int:
         """Truncated backpropagation: lanes read documents one after the other, window by window, with Adam."""
-        docs = [d.astype(np.int64) for d in docs if len(d)]
+        docs = [d for d in docs if len(d)]
         if not docs:
             return 0
         lanes = min(lanes, len(docs))
@@ -397,21 +399,26 @@ def score(docs: DataFrame, shortlist: int = 2048, **how) -> DataFrame:
     spark = docs.sparkSession
     hold = Scratch(spark)
     docs = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
-    chunks = hold.save(_chunks(docs), "chunks")
+    chunks = hold.save(_chunks(docs), "chunks", "zstd")  # small numbers in wide fields
     rows = _spread(chunks)
     counts = hold.save(rows.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     words = Words(counts, shortlist)
     top = F.when(F.col("c") >= words.least, F.col("word")).otherwise(F.lit(0)).alias("top")
     counted = rows.select("word", "chunk", "place").join(counts, "word").select("chunk", "place", "c", top)
-    coded = hold.save(_coded(chunks, counted, words), "coded")
+    coded = hold.save(_coded(chunks, counted, words), "coded", "zstd")
     hold.drop("chunks")
     hold.drop("counts")
     model = spark.sparkContext.broadcast(train(coded, words, **how))
 
     def scored(batches):
         for batch in batches:
-            numbers = [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, 7)), pa.array(model.value.score(numbers))], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "rare", "net"])
+            size = np.cumsum(batch.column(3).to_numpy())
+            cuts = np.flatnonzero(np.diff(size // SCORE_TOKENS, prepend=0, append=-1))
+            for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+                if a < b:
+                    part = batch.slice(a, b - a)
+                    net = model.value.score([np.frombuffer(x.as_buffer(), np.uint16) for x in part.column(1)])
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(i) for i in range(2, 7)), pa.array(net)], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "rare", "net"])
 
     kind = _with(docs.schema["doc_id"].dataType, "held_out boolean, n_tokens long, n_known long, logs double, rare double, net double")
     out = coded.select("doc_id", "numbers", "held", "n_tokens", "n_known", "logs", "rare").mapInArrow(scored, kind)
