@@ -71,6 +71,11 @@ def parse_age(age: Column) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) < 1000), number.cast("int"))
 
 
+def parse_age_range(age: Column) -> Column:
+    """The lower end of a range such as 30-35, or the age itself."""
+    return parse_age(F.element_at(F.split(age, "-"), 1))
+
+
 def normalise_place(place: Column) -> Column:
     """First of alternatives, abbreviations written out, place-type words and doubled consonants gone."""
     s = F.lower(place)

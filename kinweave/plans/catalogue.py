@@ -765,3 +765,152 @@ def audit_explode(p):
 @query("SELECT change_group_id, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at FROM {log} GROUP BY 1", "log")
 def audit_groups(log):
     return log.groupBy("change_group_id").agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+
+
+@query("SELECT log_id, entity_id, field_name, change_group_id, action, created_at, value FROM {log} WHERE change_group_id = '7'", "log")
+def audit_history(log):
+    return audit.history(log, group="7")
+
+
+# ---- audits and profiles of the data ----------------------------------------------------------------
+
+
+@query(
+    f"""WITH {PAIRS} SELECT x.person_id, a.recorded_person_id AS recorded_person_id_1, b.recorded_person_id AS recorded_person_id_2, a.occupation <> b.occupation AS occupation,
+    a.role IN ('head', 'spouse') AND b.role IN ('son', 'daughter') AS role_inversion, {soundex_sql(LAST.format('a.name_as_recorded'))} <> {soundex_sql(LAST.format('b.name_as_recorded'))} AS surname,
+    NOT {_age_sql('a', 'b')} AS age_outlier, {FIRST.format('a.name_as_recorded')} <> {FIRST.format('b.name_as_recorded')} AND v.x IS NULL AS forename, a.place_id <> b.place_id AS geography
+    FROM {{link}} x JOIN {{link}} y ON x.person_id = y.person_id AND x.recorded_person_id < y.recorded_person_id
+    JOIN {{person_row}} a ON a.recorded_person_id = x.recorded_person_id JOIN {{person_row}} b ON b.recorded_person_id = y.recorded_person_id
+    LEFT JOIN variant_pairs v ON v.x = {FIRST.format('a.name_as_recorded')} AND v.y = {FIRST.format('b.name_as_recorded')}""",
+    "link", "person_row",
+)
+def pair_audit(link, rows):
+    return constraints.pair_audit(constraints.sweep(link, rows), rows)
+
+
+_APOSTROPHE = "CASE WHEN record_id % 2 = 0 THEN replace(name_as_recorded, ' OB', concat(' O', chr(39), 'B')) ELSE name_as_recorded END"
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT {LAST.format(_APOSTROPHE)} AS surname FROM {{recorded_person}})
+    SELECT replace(surname, chr(39), '') AS bare, string_agg(surname, ',' ORDER BY surname) AS spellings FROM s GROUP BY 1 HAVING count(*) > 1""",
+    "recorded_person",
+)
+def surname_groups(p):
+    """Half of the records get an apostrophe, as the views have none."""
+    return constraints.surname_groups(p.withColumn("name_as_recorded", F.expr(_APOSTROPHE))).withColumn("spellings", F.array_join("spellings", ","))
+
+
+@query(f"SELECT {LAST.format('name_as_recorded')} AS surname, count(*) AS n FROM {{recorded_person}} GROUP BY 1 ORDER BY n DESC, surname LIMIT 20", "recorded_person")
+def top_surnames(p):
+    return reports.top_surnames(p)
+
+
+@query("SELECT source_id, sex_as_recorded, count(*) AS n FROM {person_row} GROUP BY 1, 2", "person_row")
+def sexes(rows):
+    return reports.sexes(rows)
+
+
+@query(
+    """SELECT a.source_id AS source_1, b.source_id AS source_2, count(*) AS pairs FROM {person_row} a JOIN {person_row} b
+    ON lower(a.name_as_recorded) = lower(b.name_as_recorded) AND a.source_id < b.source_id AND abs(a.birth_year - b.birth_year) <= 1 GROUP BY 1, 2""",
+    "person_row",
+)
+def same_name_pairs(rows):
+    return reports.same_name_pairs(rows)
+
+
+@query("SELECT source_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(place_as_recorded, 'NATION_[1-5]|UNITED|CHINA')) AS abroad FROM {person_row} GROUP BY 1", "person_row")
+def born_abroad(rows):
+    return reports.born_abroad(rows, "place_as_recorded", "NATION_[1-5]|UNITED|CHINA")
+
+
+@query(
+    """WITH v AS (SELECT e.event_id, count(DISTINCT p.record_id) AS votes FROM {event} e JOIN {link} l ON l.person_id = e.person_id JOIN {recorded_person} p ON p.recorded_person_id = l.recorded_person_id WHERE p.record_id % 3 <> e.event_id % 10 GROUP BY 1)
+    SELECT e.event_id, e.person_id, e.type, coalesce(votes, 0) AS votes, row_number() OVER (PARTITION BY e.person_id, e.type ORDER BY coalesce(votes, 0) DESC, e.event_id) AS rank FROM {event} e LEFT JOIN v ON v.event_id = e.event_id""",
+    "event", "link", "recorded_person",
+)
+def event_votes(e, link, rows):
+    shown = e.select("event_id", "person_id").join(link, "person_id").join(rows.select("recorded_person_id", "record_id"), "recorded_person_id").filter("record_id % 3 <> event_id % 10")
+    return events.vote_counts(e, shown.select("event_id", "record_id")).select("event_id", "person_id", "type", F.col("votes").cast("long").alias("votes"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT l.person_id, min(label) AS label, count(DISTINCT source_id) AS censuses FROM {link} l JOIN {person_row} p ON l.recorded_person_id = p.recorded_person_id JOIN {person} q ON q.person_id = l.person_id GROUP BY 1 HAVING count(DISTINCT source_id) >= 2", "person", "person_row", "link")
+def persons_spanning(p, rows, link):
+    return reports.persons_spanning(p, rows, link)
+
+
+#: The views have no verifications; every fifth recorded person counts as verified.
+_VERIFIED = "recorded_person_id % 5 = 0"
+
+
+@query(
+    f"""SELECT CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' WHEN score >= 0.3 THEN 'low' ELSE 'below_floor' END AS band, count(*) AS n,
+    round(count(*) FILTER (WHERE {_VERIFIED}) / count(*), 6) AS verified_share FROM {{link}} GROUP BY 1""",
+    "link",
+)
+def score_bands(link):
+    return reports.score_bands(link.withColumn("verified", F.expr(_VERIFIED)))
+
+
+@query(
+    f"""SELECT l.person_id, label, l.recorded_person_id, record_id, source_id, score FROM {{link}} l JOIN {{person_row}} p ON l.recorded_person_id = p.recorded_person_id
+    JOIN {{person}} q ON q.person_id = l.person_id WHERE score >= 0.85 AND NOT l.{_VERIFIED}""",
+    "person", "person_row", "link",
+)
+def unverified_high(p, rows, link):
+    return reports.unverified_high(p, rows, link.withColumn("verified", F.expr(_VERIFIED)))
+
+
+@query(
+    """WITH b AS (SELECT id_1 AS id, id_2 AS other, score FROM {similarity} UNION ALL SELECT id_2, id_1, score FROM {similarity}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS turn FROM b) SELECT id, other, score, turn FROM r WHERE turn <= 3""",
+    "similarity",
+)
+def top_similar(sim):
+    return reports.top_similar(sim)
+
+
+@query(
+    """WITH s AS (SELECT id_1 AS id FROM {similarity} UNION SELECT id_2 FROM {similarity}), d AS (SELECT DISTINCT record_id FROM {recorded_person} JOIN s ON id = recorded_person_id)
+    SELECT source_id, count(*) AS records FROM {record} r WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.record_id = r.record_id) GROUP BY 1""",
+    "record", "recorded_person", "similarity",
+)
+def unscored_records(r, rows, sim):
+    return reports.unscored_records(r, rows, sim)
+
+
+@query(
+    """SELECT p.person_id, label, n_recorded FROM {person} p JOIN (SELECT person_id, count(*) AS n_recorded FROM {link} GROUP BY 1) n ON n.person_id = p.person_id
+    ORDER BY label, p.person_id LIMIT 50 OFFSET 100""",
+    "person", "person_row", "link",
+)
+def person_page(p, rows, link):
+    return reports.page(reports.person_browser(p, rows, link), ["label", "person_id"], 50, 100).select("person_id", "label", "n_recorded")
+
+
+@query(
+    """WITH e AS (SELECT person_id_1 AS u, person_id_2 AS v FROM {relationship} UNION SELECT person_id_2, person_id_1 FROM {relationship}), s AS (SELECT person_id AS node FROM {person} WHERE person_id % 1200 = 1),
+    a AS (SELECT DISTINCT v AS node FROM s JOIN e ON u = node), b AS (SELECT DISTINCT v AS node FROM a JOIN e ON u = node)
+    SELECT node, min(degree) AS degree FROM (SELECT node, 0 AS degree FROM s UNION ALL SELECT node, 1 FROM a UNION ALL SELECT node, 2 FROM b) GROUP BY node""",
+    "relationship", "person",
+)
+def relatives_within_two(rel, p):
+    return cluster.degrees(rel, p.filter("person_id % 1200 = 1").select(F.col("person_id").alias("node")), 2, "person_id_1", "person_id_2")
+
+
+@query(
+    """SELECT a.recorded_person_id AS id_l, b.recorded_person_id AS id_r FROM {person_row} a JOIN {person_row} b ON a.source_id = b.source_id AND a.place_id = b.place_id
+    AND lower(a.name_as_recorded) = lower(b.name_as_recorded) AND a.birth_year = b.birth_year AND a.recorded_person_id < b.recorded_person_id""",
+    "person_row",
+)
+def dedupe_within_source(rows):
+    s = linkage.LinkageSettings((("source_id", "place_id", "lower(name_as_recorded)", "birth_year"),), (), across_sources=False)
+    return linkage.block(rows, s, "recorded_person_id").select(F.col("l_recorded_person_id").alias("id_l"), F.col("r_recorded_person_id").alias("id_r"))
+
+
+@query("SELECT recorded_person_id, age FROM {recorded_person} WHERE age IS NOT NULL", "recorded_person")
+def age_ranges(p):
+    """Ages written as ranges and read back."""
+    text = F.concat_ws("-", F.col("age").cast("string"), (F.col("age") + 5).cast("string"))
+    return p.filter("age is not null").select("recorded_person_id", X.parse_age_range(text).alias("age"))

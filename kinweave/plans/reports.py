@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
@@ -109,3 +111,62 @@ def derived_confidence(links: DataFrame) -> DataFrame:
     """Band of a person by its number of recorded rows: one low, two medium, more high."""
     n = links.groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("confidence", F.when(F.col("n") >= 3, "high").when(F.col("n") == 2, "medium").otherwise("low"))
+
+
+def persons_spanning(persons: DataFrame, rows: DataFrame, links: DataFrame, least: int = 2) -> DataFrame:
+    """Persons found in at least so many censuses."""
+    at = links.join(rows.select("recorded_person_id", "source_id"), "recorded_person_id").groupBy("person_id").agg(F.countDistinct("source_id").alias("censuses"))
+    return at.filter(F.col("censuses") >= least).join(persons.select("person_id", "label"), "person_id")
+
+
+def score_bands(links: DataFrame) -> DataFrame:
+    """Links by band of score, with the share that is verified; `links` has a boolean `verified`."""
+    band = F.when(F.col("score") >= 0.85, "high").when(F.col("score") >= 0.60, "medium").when(F.col("score") >= 0.30, "low").otherwise("below_floor")
+    return links.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if("verified") / F.count(F.lit(1)), 6).alias("verified_share"))
+
+
+def unverified_high(persons: DataFrame, rows: DataFrame, links: DataFrame, least: float = 0.85) -> DataFrame:
+    """Links of a high score that nobody has verified, for review."""
+    todo = links.filter((F.col("score") >= least) & ~F.coalesce("verified", F.lit(False)))
+    todo = todo.join(rows.select("recorded_person_id", "record_id", "source_id"), "recorded_person_id").join(persons.select("person_id", "label"), "person_id")
+    return todo.select("person_id", "label", "recorded_person_id", "record_id", "source_id", "score")
+
+
+def top_similar(similarity: DataFrame, k: int = 3) -> DataFrame:
+    """The k best partners of each recorded person, in either direction; ties: the smaller id."""
+    ways = F.array(F.struct(F.col("id_1").alias("id"), F.col("id_2").alias("other")), F.struct(F.col("id_2").alias("id"), F.col("id_1").alias("other")))
+    both = similarity.select(F.explode(ways).alias("w"), "score").select("w.id", "w.other", "score")
+    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")).cast("long")
+    return both.withColumn("turn", turn).filter(F.col("turn") <= k)
+
+
+def unscored_records(records: DataFrame, rows: DataFrame, similarity: DataFrame) -> DataFrame:
+    """Records by census of which no person has been scored yet: what is left for the next run."""
+    scored = similarity.select(F.explode(F.array("id_1", "id_2")).alias("recorded_person_id")).distinct()
+    seen = rows.select("recorded_person_id", "record_id").join(scored, "recorded_person_id", "left_semi").select("record_id").distinct()
+    return records.join(seen, "record_id", "left_anti").groupBy("source_id").agg(F.count(F.lit(1)).alias("records"))
+
+
+def top_surnames(rows: DataFrame, k: int = 20) -> DataFrame:
+    return rows.groupBy(X.surname_of(F.col("name_as_recorded")).alias("surname")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "surname").limit(k)
+
+
+def sexes(rows: DataFrame) -> DataFrame:
+    """Recorded persons by census and recorded sex."""
+    return rows.groupBy("source_id", "sex_as_recorded").agg(F.count(F.lit(1)).alias("n"))
+
+
+def same_name_pairs(rows: DataFrame, slack: int = 1) -> DataFrame:
+    """Equally named persons of two censuses whose birth years differ by at most `slack`, counted by pair of censuses.
+
+    Pairs are products of counts and never made, so a frequent name costs a row per birth year."""
+    n = rows.filter("birth_year is not null").groupBy(X.norm(F.col("name_as_recorded")).alias("name"), "birth_year", "source_id").agg(F.count(F.lit(1)).alias("n"))
+    years = F.explode(F.sequence(F.col("birth_year") - slack, F.col("birth_year") + slack)).alias("birth_year")
+    near = n.select("name", F.col("source_id").alias("source_2"), F.col("n").alias("m"), years)
+    both = n.withColumnRenamed("source_id", "source_1").join(near, ["name", "birth_year"]).filter("source_1 < source_2")
+    return both.groupBy("source_1", "source_2").agg(F.sum(F.col("n") * F.col("m")).alias("pairs"))
+
+
+def born_abroad(rows: DataFrame, column: str, pattern: str = "America|England|Scotland") -> DataFrame:
+    """Persons by census, and how many have a place in `column` that matches `pattern`."""
+    return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(column).rlike(pattern)).alias("abroad"))
