@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, join_hot
 
-ROWS_PER_SENDER = 50_000
+#: Fingerprints that a sender holds: the least, the most, and the number of senders beyond which they grow.
+ROWS_PER_SENDER, MOST_PER_SENDER, SENDERS = 50_000, 1_000_000, 4096
 
 
 def rice_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -52,10 +53,11 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
 def suspects(rows: DataFrame, hold: Scratch) -> DataFrame:
     """Adds `suspect` to rows with `h` and `sender`: another row has the same fingerprint of `bits` bits.
 
-    A sender and an owner hold about ROWS_PER_SENDER fingerprints, whatever the size of the input; a
-    fingerprint is sent once by each sender, so a hot text costs its owner one entry per sender."""
+    A sender and an owner hold from ROWS_PER_SENDER to MOST_PER_SENDER fingerprints. Above SENDERS senders they
+    hold more rather than become more, as messages go by the square of the senders. A fingerprint is sent once
+    by each sender, so a hot text costs its owner one entry per sender."""
     n = max(1, rows.count())
-    parts = 1 << int(np.ceil(np.log2(max(1, n / ROWS_PER_SENDER))))
+    parts = 1 << int(np.ceil(np.log2(max(1, n / min(MOST_PER_SENDER, max(ROWS_PER_SENDER, n // SENDERS))))))
     width = int(np.log2(parts))
     bits = min(62, max(32, 2 * int(np.ceil(np.log2(n + 1))) + 8))
     low = bits - width
