@@ -49,3 +49,13 @@ def test_large_groups(spark):
     assert all(near(rows[a][1], rows[b][1]) for a, b in edges)
     found = brute.linked(rows, lambda x, y, e={(rows[a][1], rows[b][1]) for a, b in edges}: (x, y) in e or (y, x) in e)
     assert len(set(comps.values())) <= len(set(found.values())) <= len(set(comps.values())) + 4
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    make = lambda: " ".join(f"v{rng.randrange(9999)}" for _ in range(100))
+    a, b, c, lone, other = make(), make(), make(), make(), make()
+    rows = [(1, a), (None, a + " x"), (None, lone), (7, b), (2, b + " x"), (7, other), (None, c), (None, c + " x")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in kept if not (r.text or "").startswith(c)} == {(1, a), (None, lone), (2, b + " x"), (7, other)}
+    assert len(kept) == 5
