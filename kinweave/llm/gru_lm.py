@@ -3,17 +3,24 @@
 Texts are lower-cased in A-Z and cut into words at `[\\x20\\x09-\\x0D]`, with an end token each; a null or empty
 text is the end token alone. Counts, vocabulary and totals are exact over all training documents.
 
-The output is factored: a class, then a word in it. The `shortlist` most frequent words are cut by frequency
-into classes with a softmax each; all other words fall into classes by the power of two of their count, within
-which a word has its count's share, plus one. Words never seen count as one more word of the lowest class, so
-the probabilities of the known words and the unknown one add up to 1, as they do for the base score.
+The output is factored: a class, then a word in it. Every word has a class, and the network learns the class of
+each. The most frequent words (`HEAD` times the root of the number of different words) are cut by frequency
+into classes with a softmax each; all others fall into classes by the power of two of their count, within which
+a word has its count's share, plus one. Words never seen count as one more word of the lowest class, so the
+probabilities of the known words and the unknown one add up to 1, as they do for the base score.
+
+Gradients come from every training document, once. Documents are laid end to end in the order of their ids; a
+task reads a run of them in lanes and starts afresh at each document. A lane's first document may begin within.
 
 Repeated rows get equal scores. An empty table gives an empty result; with no training document every word is
-unknown. A word is known by its 64-bit hash.
+unknown. A very long text is one row of its chunk, held whole; its state is carried to its end. A null doc_id is
+kept and scored. A word is known by its 64-bit hash.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,6 +34,7 @@ from .simhash import LOWER
 
 END = xxhash.xxh64_intdigest(b"\n") - (1 << 63)
 CLASS = 64
+HEAD = 2
 #: A chunk is closed at so many different words or tokens: what a task holds, for any input.
 CHUNK_WORDS, CHUNK_TOKENS = 350_000, 2_500_000
 #: Documents of about so many tokens are scored together.
@@ -100,14 +108,15 @@ def _spread(chunks: DataFrame) -> DataFrame:
 
 
 class Words:
-    """What every task knows of the counts: totals, the shortlist, and the weight of each class of rare words."""
+    """What every task knows of the counts: totals, the most frequent words, and the weight of each class of the others."""
 
-    def __init__(self, counts: DataFrame, shortlist: int):
-        band = F.greatest(F.floor(F.log2(F.greatest(F.col("c"), F.lit(1)))), F.lit(0)).cast("int")
-        stats = counts.filter("c > 0").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()
-        top = counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(shortlist).collect()
+    def __init__(self, counts: DataFrame, shortlist: int | None = None):
+        band = F.floor(F.log2(F.greatest(F.col("c"), F.lit(1)))).cast("int")
+        seen = counts.filter("c > 0")
+        stats = seen.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()  # at most 64 rows
         self.kinds, self.tokens = sum(r["v"] for r in stats), sum(r["n"] for r in stats)
-        self.place = {r["word"]: i for i, r in enumerate(top)}
+        most = shortlist or int(np.ceil(HEAD * np.sqrt(self.kinds)))
+        top = seen.orderBy(F.desc("c"), "word").limit(most).collect()
         self.least = top[-1]["c"] if top else 1
         self.head = len(top)
         self.head_classes = -(-self.head // CLASS)
@@ -115,6 +124,7 @@ class Words:
         kinds, tokens = np.zeros(self.bands), np.zeros(self.bands)
         for r in stats:
             kinds[r["band"]], tokens[r["band"]] = r["v"], r["n"]
+        hashes, self.freq = np.array([r["word"] for r in top], np.int64), np.array([r["c"] for r in top], float)
         for r in top:
             b = int(r["c"]).bit_length() - 1
             kinds[b] -= 1
@@ -122,27 +132,29 @@ class Words:
         weight = kinds + tokens
         weight[0] += 1  # the unknown word
         self.band_weight = np.maximum(weight, 1.0)
-        self.freq = np.array([r["c"] for r in top], float)
         heads = np.add.reduceat(self.freq, np.arange(0, self.head, CLASS)) if self.head else np.zeros(0)
         self.class_freq = np.concatenate([heads, np.maximum(tokens, 0) + 1])
-        self.end = self.place.get(END, self.head)
+        self.at = np.argsort(hashes)
+        self.sorted = hashes[self.at]
+        self.end = int(np.flatnonzero(hashes == END)[0]) if END in hashes else self.head
+        self.kind = np.uint16 if self.head + self.bands < 1 << 16 else np.uint32
 
     def code(self, word: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(model number, log10 share within the class, 0 for the shortlist) of words with counts; word 0 where c is below the shortlist's."""
+        """(model number, log10 share within the class, 0 for the most frequent words) of words with counts; word may be 0 where c is below the frequent words' least."""
         band = np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
         number = self.head + band
         rare = np.log10((c + 1) / self.band_weight[band])
-        for i in np.flatnonzero(c >= self.least):
-            at = self.place.get(int(word[i]))
-            if at is not None:
-                number[i], rare[i] = at, 0.0
-        return number.astype(np.uint16), rare
+        if self.head:
+            at = np.minimum(np.searchsorted(self.sorted, word), self.head - 1)
+            top = (self.sorted[at] == word) & (c >= self.least)
+            number[top], rare[top] = self.at[at[top]], 0.0
+        return number.astype(self.kind), rare
 
 
 def _coded(chunks: DataFrame, counted: DataFrame, words: Words) -> DataFrame:
     """Each document as the model's numbers, with what the counts alone decide."""
     sc = chunks.sparkSession.sparkContext
-    held = sc.broadcast(words)  # at most shortlist + 64 entries
+    held = sc.broadcast(words)  # grows with the root of the vocabulary: 240 kB for 100 million words
 
     def code(docs: pa.Table, seen: pa.Table) -> pa.Table:
         place, c = seen["place"].to_numpy(), seen["c"].to_numpy()
@@ -151,6 +163,7 @@ def _coded(chunks: DataFrame, counted: DataFrame, words: Words) -> DataFrame:
         by_place = lambda x: _put(np.zeros(n, x.dtype), place, x)
         number, rare, logs, known = by_place(number), by_place(rare), by_place(np.log10(c + 1.0)), by_place((c > 0).astype(np.int64))
         out = []
+        docs = docs.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         for raw in docs["ids"]:
             x = np.frombuffer(raw.as_buffer(), np.int32)
             out.append((len(x), int(known[x].sum()), float(logs[x].sum()), float(rare[x].sum()), number[x].tobytes()))
@@ -168,8 +181,10 @@ def _put(to: np.ndarray, at: np.ndarray, what: np.ndarray) -> np.ndarray:
     return to
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+def _exp_sum(e: np.ndarray) -> np.ndarray:
+    """Exponentials in place, and their sum by row; Rates keeps them in range."""
+    np.exp(e, out=e)
+    return e @ np.ones(e.shape[1], np.float32)
 
 
 class Gru:
@@ -200,49 +215,73 @@ class Gru:
             setattr(self, n, raw[at : at + a.size].reshape(a.shape).astype(np.float32))
             at += a.size
 
-    def step(self, inputs: np.ndarray, h: np.ndarray):
+    def step(self, x: np.ndarray, h: np.ndarray):
+        """The next state from the inputs' rows `x` and the last state, and what its gradient needs."""
         k = self.width
-        x, g = self.x[inputs], h @ self.u
-        gates = _sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
+        g = h @ self.u
+        gates = x[:, : 2 * k] + g[:, : 2 * k]
+        gates *= np.float32(0.5)
+        np.tanh(gates, out=gates)
+        gates += np.float32(1)
+        gates *= np.float32(0.5)  # the logistic function
         z, r = gates[:, :k], gates[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
-        return n + z * (h - n), z, r, n, g
+        n = r * g[:, 2 * k :]
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, g
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
         return np.where(y < self.head, y // CLASS, y.astype(np.int64) - self.head + self.head_classes)
 
-    def outputs(self, hs: np.ndarray, y: np.ndarray, learn: bool = False):
-        """Natural log probability of class and word for each row; with learn also the gradients of its negative sum."""
+    def outputs(self, hs: np.ndarray, y: np.ndarray, learn: bool = False, slab: int = 1024):
+        """Natural log probability of class and word for each row; with learn also the gradients of its negative sum.
+
+        Rows are taken in the order of their classes: a slab at a time for the class, a class at a time for the word."""
         c = self.class_of(y)
-        logits = hs @ self.wc
-        logits += self.bc
-        e = np.exp(np.minimum(logits, 60, out=logits))
-        s = e.sum(axis=1)
-        rows = np.arange(len(y))
-        lp = logits[rows, c] - np.log(s)
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(self.head_classes + 1))
-        if learn:
-            d = e / s[:, None]
-            d[rows, c] -= 1
-            grads = {"wc": hs.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(self.ww), "bw": np.zeros_like(self.bw)}
-            dh = d @ self.wc.T
-        for k in np.flatnonzero(np.diff(ends)):
-            i = order[ends[k] : ends[k + 1]]
-            span = slice(k * CLASS, (k + 1) * CLASS)
-            part = hs[i]
-            inner = part @ self.ww[span].T
-            inner += self.bw[span]
-            e = np.exp(np.minimum(inner, 60, out=inner))
-            s = e.sum(axis=1)
-            at, col = np.arange(len(i)), y[i] - k * CLASS
-            lp[i] += inner[at, col] - np.log(s)
+        order = np.argsort(c.astype(np.uint16) if self.classes < 1 << 16 else c, kind="stable")
+        c, y, n, k = c[order], y[order].astype(np.int64), len(y), self.width
+        one = np.ones((n, k + 1), np.float32)  # the last column carries the biases
+        one[:, :k] = hs[order]
+        lp, dh = np.empty(n, np.float32), np.empty((n, k), np.float32) if learn else None
+        w = np.vstack([self.wc, self.bc])
+        dw, dv = np.zeros_like(w), np.zeros((len(self.ww), k + 1), np.float32) if learn else None
+        back = np.ascontiguousarray(self.wc.T)
+        for a in range(0, n, slab):
+            part, col = one[a : a + slab], c[a : a + slab]
+            at = np.arange(len(col))
+            e = part @ w
+            lp[a : a + slab] = e[at, col]
+            s = _exp_sum(e)
+            lp[a : a + slab] -= np.log(s)
+            if learn:
+                e *= (1 / s)[:, None]
+                e[at, col] -= 1
+                dw += part.T @ e
+                np.matmul(e, back, out=dh[a : a + slab])
+        ends = np.searchsorted(c, np.arange(self.head_classes + 1))
+        for j in np.flatnonzero(np.diff(ends)):
+            i, span = slice(ends[j], ends[j + 1]), slice(j * CLASS, (j + 1) * CLASS)
+            part, col, v = one[i], y[i] - j * CLASS, np.column_stack([self.ww[span], self.bw[span]])
+            at = np.arange(len(col))
+            e = part @ v.T
+            right = e[at, col]
+            s = _exp_sum(e)
+            lp[i] += right - np.log(s)
             if learn:
-                d = e / s[:, None]
-                d[at, col] -= 1
-                grads["ww"][span], grads["bw"][span] = d.T @ part, d.sum(axis=0)
-                dh[i] += d @ self.ww[span]
-        return (lp, dh, grads) if learn else lp
+                e *= (1 / s)[:, None]
+                e[at, col] -= 1
+                dv[span] = e.T @ part
+                dh[i] += e @ v[:, :k]
+        out = np.empty(n, np.float32)
+        out[order] = lp
+        if not learn:
+            return out
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back, {"wc": dw[:k], "bc": dw[k], "ww": dv[:, :k], "bw": dv[:, k]}
 
     def score(self, docs: list[np.ndarray], window: int = 32, slab: int = 1 << 13) -> np.ndarray:
         """Log10 probability of each whole document; all documents go on together, their states carried from window to window."""
@@ -263,7 +302,7 @@ class Gru:
             for t in range(t0, min(t0 + window, int(size[0]))):
                 on = int(np.searchsorted(-size, -t, side="left"))
                 at = starts[:on] + t
-                new = self.step(before[at], h[:on])[0]
+                new = self.step(self.x[before[at]], h[:on])[0]
                 h = new if on == len(h) else np.concatenate([new, h[on:]])
                 states.append(new)
                 targets.append(flat[at])
@@ -276,126 +315,158 @@ class Gru:
         out[order] = total / np.log(10)
         return out
 
-    def train(self, docs: list[np.ndarray], lanes: int = 64, window: int = 16, rate: float = 0.01) -> int:
-        """Truncated backpropagation: lanes read documents one after the other, window by window, with Adam."""
+    def window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, on: np.ndarray):
+        """(loss, gradients, last state) of one window; all arrays are (time, lane).
+
+        The gradient of `x` is (rows, sums): a sum for each input word that occurs. A lane starts from nothing where `fresh`."""
+        k, (steps, lanes) = self.width, x.shape
+        trace, hs, rows = [], np.empty((steps, lanes, k), np.float32), self.x[x]
+        goes = (~fresh).astype(np.float32)[:, :, None]
+        for t in range(steps):
+            h0 = h * goes[t]
+            h, z, r, n, g = self.step(rows[t], h0)
+            trace.append((h0, z, r, n, g))
+            hs[t] = h
+        dall = np.zeros((steps * lanes, k), np.float32)
+        mask = on.ravel()
+        lp, dall[mask], grads = self.outputs(hs.reshape(-1, k)[mask], y.ravel()[mask], learn=True)
+        dall = dall.reshape(steps, lanes, k)
+        dx, dgs = np.empty((steps, lanes, 3 * k), np.float32), np.empty((steps, lanes, 3 * k), np.float32)
+        carry, back = np.zeros((lanes, k), np.float32), np.ascontiguousarray(self.u.T)
+        for t in range(steps - 1, -1, -1):
+            h0, z, r, n, g = trace[t]
+            dh, rest = dall[t] + carry, 1 - z
+            dn = dh * rest
+            dn *= 1 - n * n
+            dx[t, :, :k] = dh * (h0 - n) * z * rest
+            dx[t, :, k : 2 * k] = dn * g[:, 2 * k :] * r * (1 - r)
+            dx[t, :, 2 * k :] = dn
+            dgs[t] = dx[t]
+            dgs[t, :, 2 * k :] *= r
+            carry = dh * z
+            carry += dgs[t] @ back
+            carry *= goes[t]
+        grads["u"] = np.stack([old[0] for old in trace]).reshape(-1, k).T @ dgs.reshape(-1, 3 * k)
+        order = np.argsort(x.ravel(), kind="stable")
+        words = x.ravel()[order]
+        starts = np.flatnonzero(np.diff(words, prepend=-1))
+        grads["x"] = words[starts], np.add.reduceat(dx.reshape(-1, 3 * k)[order], starts, axis=0)
+        return -float(lp.sum()), grads, h
+
+    def train(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 16, rate: float = 0.01, rates: Rates | None = None) -> int:
+        """Truncated backpropagation over all of `docs`, laid end to end and cut into lanes of equal length; returns the tokens read."""
         docs = [d for d in docs if len(d)]
         if not docs:
             return 0
-        lanes = min(lanes, len(docs))
-        k, queue, seen, steps = self.width, list(range(len(docs)))[::-1], 0, 0
-        now: list[tuple[np.ndarray, int]] = [(docs[queue.pop()], 0) for _ in range(lanes)]
-        h = np.zeros((lanes, k), np.float32)
-        m = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
-        v = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
-        while now:
-            b = len(now)
-            x, y, on = np.full((window, b), self.end), np.zeros((window, b), np.int64), np.zeros((window, b), bool)
-            for j, (d, at) in enumerate(now):
-                part = d[at : at + window]
-                y[: len(part), j], on[: len(part), j] = part, True
-                x[1 : len(part), j] = part[:-1]
-                x[0, j] = d[at - 1] if at else self.end
-            trace, hs = [], []
-            for t in range(window):
-                h0 = h
-                h, z, r, n, g = self.step(x[t], h0)
-                trace.append((h0, z, r, n, g))
-                hs.append(h)
-            flat, mask = np.concatenate(hs), on.ravel()
-            lp, dout, grads = self.outputs(flat[mask], y.ravel()[mask], learn=True)
-            dall = np.zeros_like(flat)
-            dall[mask] = dout
-            dall = dall.reshape(window, b, k)
-            dx, du, carry = np.zeros_like(self.x), np.zeros_like(self.u), np.zeros((b, k), np.float32)
-            for t in range(window - 1, -1, -1):
-                h0, z, r, n, g = trace[t]
-                dh = dall[t] + carry
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (h0 - n) * z * (1 - z)
-                dr = dn * g[:, 2 * k :] * r * (1 - r)
-                dg = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(dx, x[t], np.concatenate([dz, dr, dn], axis=1))
-                du += h0.T @ dg
-                carry = dh * z + dg @ self.u.T
-            steps += 1
-            count = max(1, int(mask.sum()))
-            seen += count
-            for name, grad in (grads | {"x": dx, "u": du}).items():
-                grad = grad / np.float32(count)
-                m[name] += np.float32(0.1) * (grad - m[name])
-                v[name] += np.float32(0.01) * (grad * grad - v[name])
-                scale = np.float32(rate / (1 - 0.9**steps))
-                a = getattr(self, name)
-                a -= scale * m[name] / (np.sqrt(v[name] / np.float32(1 - 0.99**steps)) + np.float32(1e-6))
-            # finished documents make room for the next
-            stay = []
-            for j, (d, at) in enumerate(now):
-                if at + window < len(d):
-                    now[j] = (d, at + window)
-                    stay.append(j)
-                elif queue:
-                    now[j] = (docs[queue.pop()], 0)
-                    h[j] = 0
-                    stay.append(j)
-            now, h = [now[j] for j in stay], h[stay]
-        return seen
-
-
-def _average(models: DataFrame) -> np.ndarray | None:
-    """Mean of parameters by tokens, in two levels: tasks hold one sum each, the driver gets at most 16."""
+        rates = rates or Rates(self)
+        flat = np.concatenate(docs).astype(np.int64)
+        fresh = np.zeros(len(flat), bool)
+        fresh[np.cumsum([0, *map(len, docs[:-1])])] = True
+        before = np.where(fresh, self.end, np.roll(flat, 1))
+        lanes = max(1, min(lanes, len(flat) // steps))
+        length = -(-len(flat) // lanes)
+        starts, h = np.arange(lanes) * length, np.zeros((lanes, self.width), np.float32)
+        for t in range(0, length, steps):
+            at = np.arange(t, min(t + steps, length))[:, None] + starts
+            on = at < len(flat)
+            at = np.minimum(at, len(flat) - 1)
+            _, grads, h = self.window(h, before[at], flat[at], fresh[at], on)
+            rates.apply(self, grads, max(1, int(on.sum())), rate)
+        return len(flat)
+
+
+class Rates:
+    """Step sizes from past gradients: Adam for what every window touches, sums of squares for the input words."""
+
+    def __init__(self, net: Gru):
+        self.m = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES if n != "x"}
+        self.v = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES if n != "x"}
+        self.sum, self.steps = np.zeros(len(net.x), np.float32), 0
+
+    def apply(self, net: Gru, grads: dict, tokens: int, rate: float) -> None:
+        self.steps += 1
+        scale, late = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
+        for n, m in self.m.items():
+            g, v = grads[n] * np.float32(1 / tokens), self.v[n]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            a = getattr(net, n)
+            a -= scale * m / (np.sqrt(v * late) + np.float32(1e-6))
+        for n, most in (("wc", 3), ("ww", 3), ("bc", 20), ("bw", 30)):  # states are within 1, so no exponential overflows
+            np.clip(getattr(net, n), -most, min(most, 20), out=getattr(net, n))
+        rows, g = grads["x"]
+        g = g * np.float32(1 / tokens)
+        self.sum[rows] += (g * g).mean(axis=1)
+        net.x[rows] -= np.float32(8 * rate) * g / (np.sqrt(self.sum[rows])[:, None] + np.float32(1e-8))
+
+
+def _average(models: DataFrame, least: int = 16) -> np.ndarray | None:
+    """Mean of parameters by tokens, from rows (part, n, model). While there are more than `least`, each sixteen next to each
+    other become one, so no task and not the driver holds more; sums are in the order of `part`, the same in each run."""
 
     def add(batches):
-        total, weight = None, 0.0
+        total, weight, held = None, 0.0, None
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                a = np.frombuffer(raw.as_buffer(), np.float32) * n
+            for part, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if held is not None and part // least != held:
+                    yield one(held, weight, total)
+                    total, weight = None, 0.0
+                held, a = part // least, np.frombuffer(raw.as_buffer(), np.float32).astype(float) * n
                 total, weight = (a if total is None else total + a), weight + n
-        if total is not None and weight:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()])], names=["n", "model"])
-
-    got = models.repartition(16).mapInArrow(add, "n double, model binary").collect()
+        if total is not None:
+            yield one(held, weight, total)
+
+    def one(part, n, total):
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()])], names=["part", "n", "model"])
+
+    hold, turn = Scratch(models.sparkSession), 0
+    models = hold.save(models, "models0")
+    while (most := models.agg(F.max("part")).first()[0] or 0) >= least:
+        turn += 1
+        near = models.repartition(most // least + 1, F.floor(F.col("part") / least)).sortWithinPartitions("part")
+        models = hold.save(near.mapInArrow(add, "part long, n double, model binary"), f"models{turn}")
+        hold.drop(f"models{turn - 1}")
+    got = models.orderBy("part").collect()
+    hold.drop(f"models{turn}")
     if not got:
         return None
-    return sum(np.frombuffer(r["model"], np.float32) * r["n"] for r in got) / sum(r["n"] for r in got)
-
+    return sum(np.frombuffer(r["model"], np.float32).astype(float) * r["n"] for r in got) / sum(r["n"] for r in got)
 
-def train(coded: DataFrame, words: Words, rounds: int = 4, share: float = 1 / 12, least_tokens: int = 2_000_000, width: int = 16) -> Gru:
-    """Data-parallel training: in each round every task goes on from the mean of the last round's models.
 
-    The counts, and through them the starting biases, come from all training documents. Gradients come from
-    whole documents picked by hash: `share` of them, more while that is under `least_tokens`."""
+def train(coded: DataFrame, words: Words, rounds: int = 4, width: int = 16, held_tokens: int = 3_000_000) -> Gru:
+    """Data-parallel training: each round reads its share of the training documents, by hash, and each training document is
+    in one round; every task goes on from the mean of the last round's models. A task holds `held_tokens` tokens at a time."""
     spark: SparkSession = coded.sparkSession
     model = Gru(words, width)
-    part = min(1.0, max(share, least_tokens / max(1, words.tokens)))
-    bucket = F.pmod(F.xxhash64(F.lit(31), "doc_id", "n_tokens"), F.lit(1_000_000))
+    bucket = F.pmod(F.xxhash64(F.lit(31), "doc_id", "n_tokens"), F.lit(rounds))
     for k in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
-        def learn(batches, now=now, rate=0.012 / (1 + 0.5 * k)):
-            import copy
-
-            own, docs = copy.deepcopy(now.value), []
-            n, size = 0, 0
+        def learn(batches, now=now, rate=0.012 / (1 + 0.5 * k), kind=words.kind):
+            own = copy.deepcopy(now.value)
+            rates, docs, n, size = Rates(own), [], 0, 0
             for batch in batches:
-                for x in batch.column(0).to_pylist():
-                    docs.append(np.frombuffer(x, np.uint16))
+                for x in batch.column(0):
+                    docs.append(np.frombuffer(x.as_buffer(), kind))
                     size += len(docs[-1])
-                    if size >= 4_000_000:
-                        n, docs, size = n + own.train(docs, rate=rate), [], 0
-            n += own.train(docs, rate=rate)
+                    if size >= held_tokens:
+                        n, docs, size = n + own.train(docs, rate=rate, rates=rates), [], 0
+            n += own.train(docs, rate=rate, rates=rates)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([own.get()])], names=["n", "model"])
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([float(n)]), pa.array([own.get()])], names=["part", "n", "model"])
 
-        some = coded.filter(~F.col("held") & (bucket >= int(1e6 * part * k / rounds)) & (bucket < int(1e6 * part * (k + 1) / rounds)))
-        mean = _average(some.select("numbers").mapInArrow(learn, "n double, model binary"))
+        some = coded.filter(~F.col("held") & (bucket == k))
+        mean = _average(some.select("numbers").mapInArrow(learn, "part long, n double, model binary"))
         if mean is not None:
             model.put(mean)
         now.unpersist()
     return model
 
 
-def score(docs: DataFrame, shortlist: int = 2048, **how) -> DataFrame:
-    """`docs` has doc_id, text and held_out; returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, shortlist: int | None = None, **how) -> DataFrame:
+    """`docs` has doc_id, text and held_out; returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    `shortlist` sets the number of words with a softmax of their own; by default it grows with the vocabulary."""
     spark = docs.sparkSession
     hold = Scratch(spark)
     docs = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
@@ -417,7 +488,7 @@ def score(docs: DataFrame, shortlist: int = 2048, **how) -> DataFrame:
             for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
                 if a < b:
                     part = batch.slice(a, b - a)
-                    net = model.value.score([np.frombuffer(x.as_buffer(), np.uint16) for x in part.column(1)])
+                    net = model.value.score([np.frombuffer(x.as_buffer(), words.kind) for x in part.column(1)])
                     yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(i) for i in range(2, 7)), pa.array(net)], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "rare", "net"])
 
     kind = _with(docs.schema["doc_id"].dataType, "held_out boolean, n_tokens long, n_known long, logs double, rare double, net double")
