@@ -2,11 +2,14 @@
 
 The host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the path goes on up
 to `?`, `#` or the end. A null url, or one without `://`, has both empty, fits no rule and gets the method's
-verdict on no n-grams. Repeated rows are judged alike; an empty table gives an empty result.
+verdict on no n-grams. Repeated rows are judged alike; an empty table gives an empty result. A score at the
+threshold blocks. A very long url is scored whole, each n-gram once.
 """
 
 from __future__ import annotations
 
+import math
+import random
 import zlib
 from collections.abc import Iterable
 
@@ -16,27 +19,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: The small labelled table, 1 for hosts and paths to block.
-LABELLED = {
-    1: """casino-royal.example.com/en/12 grand-casino.example.net/play casinowin.example.org/en/7 m.win-big.example.com/de/3
-    www.poker-bonus.example.com/fr/9 online-slots.example.net/en/1.html free-spins.example.org/es/2 bets-now.example.com/en/55
-    sports-betting.example.net/en/8 free-bet.example.com/de/12 jackpot-win.example.org/fr/3 blog.lotto-win.example.com/en/4
-    cheap-meds.example.com/de/66 pills-online.example.net/en/2 cheap-viagra.example.org/buy pharmacy-cheap.example.com/en/9
-    buy-cialis.example.net/fr/1 diet-pills.example.com/es/3 weight-loss-pills.example.org/en/5 www.cheap-tabs.example.com/fr/6
-    payday-loan.example.com/en/14 fast-loans.example.net/de/5 quick-cash.example.org/en/1 free-money.example.com/es/8
-    replica-watches.example.net/en/3 cheap-watches.example.com/fr/4 xxx-cams.example.com/en/2 hot-porn.example.net/de/7
-    adult-dating.example.org/en/4 sexy-singles.example.com/fr/2 free-download-crack.example.net/en/6 get-followers.example.com/en/9
-    crypto-doubler.example.org/en/3 click-here-win.example.com/es/1 free-iphone.example.net/en/4 casino.example.com/en/5""",
-    0: """tionsh.example.com/en/825 www.theron.example.org/de/712.html blog.thther.example.net/en/1 m.ththon.example.net/en/742
-    ththing.example.com/es/249 thering.example.com/en/328 blog.theres.example.com/fr/417 www.library.example.org/en/3
-    news.example.com/en/2024 museum.example.net/de/archive university.example.org/fr/physics recipes.example.com/es/44
-    m.weather.example.net/en/9 blog.garden.example.com/en/17 www.history.example.org/de/5 science.example.net/en/88.html
-    travel.example.com/fr/12 docs.python.example.org/en/library music.example.net/es/6 school.example.com/en/31
-    www.city-council.example.org/en/2 hospital.example.net/fr/4 blog.cooking.example.com/de/71 sport-news.example.org/en/8
-    ththand.example.net/fr/90 tiontion.example.com/en/15 www.ernt.example.net/de/21 m.onouthe.example.org/en/6
-    blog.edstre.example.com/es/33 halythe.example.net/en/507 reingly.example.org/fr/18 www.atnded.example.com/en/64
-    post-office.example.org/en/5 film-review.example.com/en/7 open-source.example.net/de/9 field-notes.example.org/fr/2""",
-}
+#: Words that hosts and paths to block tend to carry.
+CUES = """casino poker roulette jackpot betting bet slots bingo lottery gamble wager porn xxx adult sex escort nude cam hookup dating
+viagra cialis pills pharma meds steroid dietpill slimming payday loan credit debt forex binary invest bitcoin doubler airdrop giveaway
+prize winner free cheap discount replica rolex crack keygen warez torrent serial hack cheat spam click popup adserver ads tracker
+banner followers likes traffic backlink seo farm clone phish verify unlock"""
+#: Well-known sites, by the label of their host.
+SITES = """wikipedia github gitlab stackoverflow arxiv python apache mozilla debian ubuntu kernel gnu w3 ietf rust-lang golang postgresql
+sqlite numpy pandas bbc nytimes guardian reuters lemonde spiegel elpais economist nature science sciencedirect springer ieee acm
+pubmed nasa noaa who un europa loc archive gutenberg imdb goodreads britannica merriam-webster duolingo khanacademy coursera mit
+stanford harvard oxford cambridge medium wordpress blogger reddit tumblr flickr vimeo soundcloud bandcamp ebay etsy ikea lego"""
+#: Ordinary words of hosts and paths.
+PLAIN = """news weather recipes garden library museum history school travel music film sport health hospital council university
+physics chemistry biology math forum blog docs help support archive journal review photo art design books poetry theatre cinema
+bakery coffee kitchen farmers market cycling running hiking football tennis chess parish village river forest ocean mountain bird
+insect geology astronomy climate energy solar railway bus airport ferry post bank insurance lawyer dentist clinic vet pet horse
+linux data code open source open-data project team studio workshop lab notes diary family wedding baby toy craft knitting wood"""
+#: What both classes end in.
+ENDS = "com net org info io co.uk de fr es it edu gov biz site online example.com example.org"
+
+
+def labelled_urls(seed: int = 41, rows: int = 2100) -> list[tuple[str, int]]:
+    """About `rows` urls without scheme, by rule from the words above, 1 for those to block: made up but for the sites' names.
+
+    Both classes use the same ends, prefixes and paths, and hosts of one or two words or of random syllables, so only the
+    cues tell them apart. A quarter of those to block carry the cue in the path."""
+    rng, out = random.Random(seed), []
+    cues, sites, plain, ends = CUES.split(), SITES.split(), PLAIN.split(), ENDS.split()
+
+    def syllables() -> str:
+        return "".join(rng.choice("bcdfghklmnprstvwz") + rng.choice(("a", "e", "i", "o", "u", "en", "th", "er", "ing")) for _ in range(rng.randint(2, 4)))
+
+    def any_word() -> str:
+        return rng.choice(plain) if rng.random() < 0.6 else syllables()
+
+    def url(host: str, path: str) -> str:
+        return f"{rng.choice(('', '', 'www.', 'm.', 'blog.'))}{host}.{rng.choice(ends)}/{path}"
+
+    def path() -> str:
+        return "/".join([*rng.choices(("en", "de", "fr", "es", "2023", "p", any_word()), k=rng.randint(0, 2)), str(rng.randint(1, 999)) + rng.choice(("", ".html"))])
+
+    for i in range(rows // 3):
+        cue, other = cues[i % len(cues)], rng.choice((rng.choice(cues), any_word(), str(rng.randint(1, 99)), rng.choice("xyz")))
+        host = rng.choice(("{0}{2}{1}", "{1}{2}{0}", "{0}{1}", "{0}")).format(cue, other, rng.choice("-- ").strip())
+        out.append((url(host, path()) if rng.random() < 0.75 else url(any_word(), f"{cue}-{other}/{path()}"), 1))
+        host = rng.choice((rng.choice(sites), any_word(), any_word() + rng.choice(("-", "")) + any_word()))
+        out.append((url(host, path()), 0))
+        out.append((url(rng.choice((syllables(), rng.choice(sites), any_word() + "-" + syllables())), path()), 0))
+    return out
+
+
+#: What an n-gram that occurs counts.
+SCALE = 0.2
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Rules are tried in one expression; longer lists are refused.
 MOST_RULES = 1000
@@ -74,29 +108,29 @@ def grams(host: str, path: str, width: int, sizes=(3, 4, 5)) -> np.ndarray:
 
 
 class UrlModel:
-    """Logistic regression, fitted by gradient descent on a small labelled table of urls without scheme."""
-
-    def __init__(self, labelled: Iterable[tuple[str, int]] | None = None, width: int = 1 << 15, steps: int = 300, rate: float = 2.0, decay: float = 1e-3):
-        rows = [(u, y) for y, text in LABELLED.items() for u in text.split()] if labelled is None else list(labelled)
-        x = np.zeros((len(rows), width), np.float32)
-        for i, (u, _) in enumerate(rows):
-            host, slash, path = u.partition("/")
-            g = grams(host, slash + path, width)
-            x[i, g] = 1 / np.sqrt(max(1, len(g)))
-        used = np.flatnonzero(x.any(axis=0))
-        x, y = x[:, used], np.array([y for _, y in rows], np.float32)
-        w, b = np.zeros(len(used), np.float32), 0.0
-        for _ in range(steps):
-            off = 1 / (1 + np.exp(-(x @ w + b))) - y
-            w -= rate * (x.T @ off / max(1, len(y)) + decay * w)
-            b -= rate * float(off.mean()) if len(y) else 0.0
-        self.width, self.bias, self.weights = width, b, np.zeros(width, np.float32)
-        self.weights[used] = w
+    """Logistic regression, fitted by gradient descent on a small labelled table of urls without scheme (2100 rows)."""
+
+    def __init__(self, labelled: Iterable[tuple[str, int]] | None = None, width: int = 1 << 17, steps: int = 200, rate: float = 0.15, decay: float = 1e-6):
+        rows = list(labelled_urls() if labelled is None else labelled)
+        found = [grams(host, slash + path, width) for host, slash, path in (u.partition("/") for u, _ in rows)]
+        y = np.array([y for _, y in rows], float)
+        at = np.concatenate([*found, np.zeros(0, np.int64)])
+        row = np.repeat(np.arange(len(rows)), [len(g) for g in found])
+        w, m, v = np.zeros((3, width + 1))  # the bias stands last
+        for k in range(1, (steps if len(rows) else 0) + 1):
+            total = np.bincount(row, weights=w[at], minlength=len(rows)) * SCALE + w[-1]
+            off = (1 / (1 + np.exp(-total)) - y) / len(y)
+            g = decay * w
+            g[:-1] += np.bincount(at, weights=off[row], minlength=width) * SCALE
+            g[-1] += off.sum()
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g  # Adam
+            w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
+        self.width, self.weights, self.bias = width, w[:-1].astype(np.float32), float(w[-1])
 
     def score(self, host: str, path: str) -> float:
         """Probability of block; 0 for an empty host."""
-        g = grams(host, path, self.width)
-        return float(1 / (1 + np.exp(-(self.weights[g].sum() / np.sqrt(len(g)) + self.bias)))) if host else 0.0
+        total = float(self.weights[grams(host, path, self.width)].sum()) * SCALE + self.bias
+        return 1 / (1 + math.exp(-min(50.0, max(-50.0, total)))) if host else 0.0
 
 
 def judge(pages: DataFrame, rules=RULES, model: UrlModel | None = None, threshold: float = 0.5, url: str = "url") -> DataFrame:
@@ -105,11 +139,13 @@ def judge(pages: DataFrame, rules=RULES, model: UrlModel | None = None, threshol
 
     @pandas_udf("double")
     def scored(host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([model.score(h, p) for h, p in zip(host, path, strict=True)], dtype="float64")
+        return pd.Series([None if h is None else model.score(h, p) for h, p in zip(host, path, strict=True)], dtype="float64")
 
     host, path = parts(F.col(url))
     rows = pages.withColumn("host", host).withColumn("path", path)
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("_said", said).withColumn("url_score", scored("host", "path"))
-    verdict = F.coalesce("_said", F.when(F.col("url_score") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.withColumn("verdict", verdict).withColumn("url_score", F.when(F.col("rule").isNull(), F.col("url_score"))).drop("_said")
+    # a host that a rule decides goes to Python as null
+    open_ = F.when(rule.isNull(), F.col("host"))
+    rows = rows.withColumns({"rule": rule, "verdict": said, "url_score": scored(open_, F.col("path"))})
+    found = F.when(F.col("url_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
+    return rows.withColumn("verdict", F.coalesce("verdict", found))
