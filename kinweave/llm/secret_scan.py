@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and credential formats learned by grammar inference.
 
 From labelled credentials of a format, a prefix tree with counts is built and statistically compatible states
-are merged (the test of Carrasco and Oncina's ALERGIA) into a probabilistic automaton. Every candidate token is
-scored by the log-likelihood ratio of its best automaton against a background of ordinary text.
+are merged (the test of Carrasco and Oncina's ALERGIA) into a probabilistic automaton, with how often each length
+occurs. Every part of a run of token characters that begins and ends at the run's ends or at a mark is a candidate.
+It is scored by the log-likelihood ratio of its best automaton against chains fitted on ordinary tokens.
 
 A null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows give the same spans;
-an empty table gives an empty result. Learned spans never overlap fixed ones; the fixed ones stay.
+an empty table gives an empty result. The fixed spans stay; a learned span within a fixed one is not reported
+again. Very long texts and runs are read whole; a candidate is as long as the longest credential learned at most.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from itertools import accumulate
 
 import numpy as np
@@ -31,37 +33,92 @@ HEX = re.compile(r"[0-9a-f]+")
 TOKEN = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 IS_TOKEN = np.array([b in TOKEN for b in range(256)])
 KINDS = ("assign", "access", "hex")
-#: Shortest candidate; tokens are maximal runs of TOKEN characters.
-SHORTEST = 16
+#: Shortest candidate, and the marks at which a candidate may begin or end inside a run of TOKEN characters.
+SHORTEST, MARKS = 16, frozenset("+/_.=-")
 _D, _U, _L = string.digits, string.ascii_uppercase, string.ascii_lowercase
-#: Public credential formats, as (name, prefix, alphabet, length of the rest).
+_A, _W = _D + _U + _L, _D + _U + _L + "_-"
+#: Public credential formats, as a name and parts: literals, or (alphabet, least, most).
 FORMATS = (
-    ("code_host", "ghp_", _D + _U + _L, 36), ("code_host", "gho_", _D + _U + _L, 36), ("package_index", "pypi-AgEIcHlwaS5vcmc", _D + _U + _L + "_-", 60),
-    ("chat", "xoxb-", _D, 12), ("chat", "xoxp-", _D, 12), ("cloud_key", "AIza", _D + _U + _L + "_-", 35), ("payment", "sk_live_", _D + _U + _L, 24),
-    ("payment", "rk_live_", _D + _U + _L, 24), ("mail", "SG.", _D + _U + _L + "_-", 66), ("signed", "eyJhbGciOiJIUzI1NiJ9.eyJ", _D + _U + _L + "_-", 60),
-    ("random40", "", _D + _U + _L + "+/", 40), ("random32", "", _D + _U + _L, 32), ("upper_hex", "", _D + "ABCDEF", 40),
-)
+    ("code_host", "ghp_", (_A, 36, 36)),
+    ("code_host", "gho_", (_A, 36, 36)),
+    ("code_host", "github_pat_", (_A, 22, 22), "_", (_A, 59, 59)),
+    ("package_index", "pypi-AgEIcHlwaS5vcmc", (_W, 60, 120)),
+    ("chat", "xoxb-", (_D, 10, 13), "-", (_D, 10, 13), "-", (_A, 24, 24)),
+    ("chat", "xoxp-", (_D, 10, 13), "-", (_D, 10, 13), "-", (_D, 10, 13), "-", ("0123456789abcdef", 32, 32)),
+    ("cloud_key", "AIza", (_W, 35, 35)),
+    ("payment", "sk_live_", (_A, 24, 24)),
+    ("payment", "rk_live_", (_A, 24, 24)),
+    ("mail", "SG.", (_W, 22, 22), ".", (_W, 43, 43)),
+    ("signed", "eyJhbGciOi", (_A, 10, 40), ".eyJ", (_W, 40, 120), ".", (_W, 43, 86)),
+    ("random40", (_A + "+/", 40, 40)),
+    ("random32", (_A, 32, 32)),
+    ("upper_hex", (_D + "ABCDEF", 40, 40)),
+)
+#: Parts of ordinary tokens.
+ROOTS = "data user name file path count index value table column request response server client module system config build version test report summary image style market research language history university"
+
+
+def _drawn(rng: random.Random, parts: tuple) -> str:
+    return "".join(x if isinstance(x, str) else "".join(rng.choices(x[0], k=rng.randint(x[1], x[2]))) for x in parts)
 
 
 def labelled(per_format: int = 120, seed: int = 23) -> dict[str, list[str]]:
     """Seeded credentials of each public format, by name."""
     rng, out = random.Random(seed), defaultdict(list)
-    for name, prefix, alphabet, rest in FORMATS:
-        out[name] += [prefix + "".join(rng.choices(alphabet, k=rest)) for _ in range(per_format)]
+    for name, *parts in FORMATS:
+        out[name] += [_drawn(rng, parts) for _ in range(per_format)]
+    return dict(out)
+
+
+def ordinary(per_kind: int = 300, seed: int = 29) -> dict[str, list[str]]:
+    """Seeded tokens that are no credentials, by kind: words, identifiers, paths, hosts, numbers, dates and identifiers of records."""
+    rng, roots, out = random.Random(seed), ROOTS.split(), defaultdict(list)
+    syllable = lambda: rng.choice("bcdfghklmnprstvwz") + rng.choice(["a", "e", "i", "o", "u", "en", "th", "ing", "er"])
+    word = lambda: rng.choice(roots) if rng.random() < 0.5 else "".join(syllable() for _ in range(rng.randint(2, 7)))
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    for _ in range(per_kind):
+        w = [word() for _ in range(rng.randint(3, 7))]
+        out["lower"] += ["".join(w), rng.choice("_-.").join(w), "_".join(w) + str(rng.randint(1, 999))]
+        out["upper"] += ["".join(w).upper(), "_".join(w).upper()]
+        out["camel"] += ["".join(x.capitalize() for x in w), w[0] + "".join(x.capitalize() for x in w[1:]) + rng.choice(("", str(rng.randint(1, 99))))]
+        out["path"] += ["/".join(["", *w]) + rng.choice(("", ".html", ".py", str(rng.randint(1, 9)))), ".".join([*w[:3], rng.choice(("com", "org", "net"))]) + f"/{w[-1]}/{rng.randint(1, 99999)}"]
+        out["number"] += [str(rng.randrange(10**15, 10**19)), f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}", ".".join(str(rng.randint(0, 999)) for _ in range(5))]
+        out["uuid"] += ["-".join(hexes(n) for n in (8, 4, 4, 4, 12))]
+        out["UUID"] += ["-".join(hexes(n) for n in (8, 4, 4, 4, 12)).upper()]
     return dict(out)
 
 
-def symbols(token: str) -> list[str]:
-    """The automata's alphabet: a leading literal up to the first separator of a short prefix, then classes."""
-    head = re.match(r"[A-Za-z]{2,4}[_.-](?:live_|test_)?|AIza|eyJ|pypi-", token)
-    n = head.end() if head else 0
-    return list(token[:n]) + ["9" if c in _D else "A" if c in _U else "a" if c in _L else c for c in token[n:]]
+#: Classes of characters that are alike, and the log of their sizes; other characters stand for themselves.
+CLASS_OF = {c: k for k, chars in (("9", _D), ("f", _L[:6]), ("z", _L[6:]), ("F", _U[:6]), ("Z", _U[6:])) for c in chars}
+LOG_SIZE = {"9": math.log(10), "f": math.log(6), "z": math.log(20), "F": math.log(6), "Z": math.log(20)}
+
+
+def classes(token: str) -> list[str]:
+    return [CLASS_OF.get(c, c) for c in token]
+
+
+def common_starts(words: list[str], least: float = 0.2) -> frozenset[str]:
+    """Beginnings that the words share letter by letter: each goes on from one that holds, in `least` of its words."""
+    found, level = set(), {"": len(words)}
+    while level:
+        times: dict[str, int] = defaultdict(int)
+        for w in words:
+            for p in level:
+                if len(w) > len(p) and w.startswith(p):
+                    times[w[: len(p) + 1]] += 1
+        level = {p: n for p, n in times.items() if n >= max(8, least * level[p[:-1]])}
+        found |= set(level)
+    return frozenset(found)
 
 
 class Automaton:
-    """A probabilistic automaton from the merged prefix tree of labelled strings."""
+    """A probabilistic automaton from the merged prefix tree of labelled strings, and how long these are.
+
+    Its symbols are the characters of the beginnings that the strings share, then classes."""
 
-    def __init__(self, words: list[list[str]], alpha: float = 0.01, deepest: int = 40):
+    def __init__(self, strings: list[str], alpha: float = 0.01, deepest: int = 40):
+        self.starts = common_starts(strings)
+        words = [self.symbols(w) for w in strings]
         self.next: list[dict[str, int]] = [{}]
         self.times: list[dict[str, int]] = [defaultdict(int)]
         self.ends: list[int] = [0]
@@ -79,7 +136,6 @@ class Automaton:
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.deepest = deepest
         self._merge()
-        self.seen = sorted({c for t in self.times for c in t})
         self._logs()
 
     def _total(self, q: int) -> int:
@@ -130,43 +186,106 @@ class Automaton:
             blue = [(r, c) for r in red for c in sorted(self.next[r]) if self.next[r][c] not in red]
         self.red = red
 
-    def _logs(self) -> None:
-        slots = len(self.seen) + 1
-        self.log = {q: {c: math.log((n + 0.05) / (self._total(q) + 0.05 * slots)) for c, n in self.times[q].items()} for q in self.red}
-        self.end = {q: math.log((self.ends[q] + 0.05) / (self._total(q) + 0.05 * slots)) for q in self.red}
+    def symbols(self, token: str) -> list[str]:
+        n = next((n for n in range(1, len(token) + 1) if token[:n] not in self.starts), len(token) + 1) - 1
+        return [f"'{c}" for c in token[:n]] + classes(token[n:])
 
-    def score(self, word: list[str]) -> float:
-        """Log-likelihood of a word; minus infinity once it leaves the automaton."""
-        at, total = 0, 0.0
-        for c in word:
-            if c not in self.log[at]:
-                return -math.inf
-            total, at = total + self.log[at][c], self.next[at][c]
-        return total + self.end[at]
+    def _logs(self, few: float = 0.05) -> None:
+        """Log probabilities of characters by state; one not seen in a state has `few` counts there and does not leave it."""
+        kinds = len(CLASS_OF) + len(MARKS)
+        self.log = {q: {c: math.log((n + few) / (self._total(q) + few * kinds)) - LOG_SIZE.get(c, 0.0) for c, n in self.times[q].items()} for q in self.red}
+        self.unseen = {q: math.log(few / (self._total(q) + few * kinds)) for q in self.red}
+        self.next = {q: self.next[q] for q in self.red}  # the merged tree has served
+        del self.times, self.ends
+
+    def lengths(self, strings: list[str], few: float = 0.02) -> None:
+        n = len(strings) + few * 256
+        self.size = {k: math.log((c + few) / n) for k, c in Counter(map(len, strings)).items()}
+        self.other_size, self.longest = math.log(few / n), max(self.size, default=0)
+
+    def walk(self, text: str, drop: float = 4.3, far: float = 16.0):
+        """Log probability of each beginning of `text`, until it falls `far` behind `drop` a character."""
+        at, total, literal = 0, 0.0, True
+        for n, c in enumerate(text, 1):
+            literal = literal and text[:n] in self.starts
+            symbol = f"'{c}" if literal else CLASS_OF.get(c, c)
+            p = self.log[at].get(symbol)
+            total, at = (total + self.unseen[at], at) if p is None else (total + p, self.next[at][symbol])
+            if total + drop * n < -far:
+                return
+            yield total
+
+
+class Chain:
+    """Ordinary tokens of one kind: what class of character follows what."""
+
+    def __init__(self, tokens: list[str], few: float = 0.3):
+        times: dict[str, Counter] = defaultdict(Counter)
+        for t in tokens:
+            for a, b in zip(["", *classes(t)], classes(t), strict=False):
+                times[a][b] += 1
+        kinds = [*LOG_SIZE, *sorted(MARKS)]
+        self.log = {(a, b): math.log((times[a][b] + few) / (times[a].total() + few * len(kinds))) - LOG_SIZE.get(b, 0.0) for a in ("", *kinds) for b in kinds}
 
 
 class SecretModel:
-    """One automaton per format, and a first-order background of ordinary tokens."""
+    """One automaton per format, chains of ordinary tokens, and a margin fitted so that no ordinary token of a sample passes."""
 
-    def __init__(self, credentials: dict[str, list[str]] | None = None, ordinary: list[str] | None = None, margin: float = 12.0):
+    def __init__(self, credentials: dict[str, list[str]] | None = None, plain: dict[str, list[str]] | None = None, margin: float | None = None, spare: float = 4.0):
         credentials = labelled() if credentials is None else credentials
-        self.automata = {name: Automaton([symbols(w) for w in words]) for name, words in sorted(credentials.items())}
+        self.automata = {}
+        for name, words in sorted(credentials.items()):
+            self.automata[name] = Automaton(words)
+            self.automata[name].lengths(words)
+        self.chains = [Chain(t) for _, t in sorted((plain or ordinary()).items())]
+        self.longest = max((a.longest for a in self.automata.values()), default=0)
+        if margin is None:
+            held = [t for ts in (plain or ordinary(seed=31)).values() for t in ts]
+            margin = max([0.0, *(c[0] for t in held for c in self.candidates(t))]) + spare
         self.margin = margin
-        # letters go on in one case; digits, marks and changes of case are rare in ordinary tokens
-        same, other = math.log(0.93), math.log(0.07 / 12)
-        self.step = lambda a, b: same if a == b or (a == "A" and b == "a") else other
 
-    def background(self, word: list[str]) -> float:
-        flat = ["9" if c in _D else "A" if c in _U else "a" if c in _L else c for c in word]
-        return sum(self.step(a, b) for a, b in zip(["", *flat], [*flat, ""], strict=True))
+    def candidates(self, run: str, least: float = -math.inf) -> list[tuple[float, int, int, str]]:
+        """(log-likelihood ratio, start, end, format) of every part of a run that begins and ends at its ends or at marks, best first.
+
+        The background of a part is the chain that fits it best."""
+        symbols = classes(run)
+        sums = [list(accumulate((c.log[a, b] for a, b in zip(["", *symbols], symbols, strict=False)), initial=0.0)) for c in self.chains]
+        found = []
+        for a in [0, *(i + 1 for i, c in enumerate(run) if c in MARKS)]:
+            if len(run) - a < SHORTEST:
+                break
+            for name, automaton in self.automata.items():
+                for n, total in enumerate(automaton.walk(run[a : a + self.longest + 1]), 1):
+                    if n >= SHORTEST and (a + n == len(run) or run[a + n] in MARKS):
+                        ratio = total + automaton.size.get(n, automaton.other_size) - max(s[a + n] - s[a] for s in sums)
+                        if ratio > least:
+                            found.append((ratio, a, a + n, name))
+        return sorted(found, key=lambda f: (-f[0], f[1], -f[2], f[3]))
+
+    def learned(self, run: str) -> list[tuple[int, int, str]]:
+        """The spans of a run above the margin that do not overlap and have the highest sum of ratios over the margin.
+
+        Of the formats of one part the most likely stands, of equal ones the first by name; of equal sums the one of fewer
+        and earlier spans."""
+        parts: dict[tuple[int, int], tuple[float, str]] = {}
+        for ratio, a, b, name in self.candidates(run, self.margin):
+            parts.setdefault((a, b), (ratio - self.margin, name))
+        best: list[tuple[float, list]] = [(0.0, [])]  # by end, the best sum of what ends there or before
+        ends = [0]
+        for (a, b), (gain, name) in sorted(parts.items(), key=lambda x: (x[0][1], x[0][0])):
+            total, taken = best[bisect_right(ends, a) - 1]
+            if total + gain > best[-1][0]:
+                now = total + gain, [*taken, (a, b, name)]
+                if ends[-1] == b:
+                    best[-1] = now
+                else:
+                    ends.append(b)
+                    best.append(now)
+        return best[-1][1]
 
     def kind(self, token: str) -> str | None:
-        """The format of a token, or None."""
-        if not (any(c in _D for c in token) and any(c in _U + _L for c in token)):
-            return None
-        word = symbols(token)
-        best, name = max((a.score(word), name) for name, a in self.automata.items())
-        return name if best - self.background(word) > self.margin else None
+        """The format of a whole token, or None."""
+        return next((name for a, b, name in self.learned(token) if (a, b) == (0, len(token))), None)
 
     def spans(self, text: str | None) -> tuple[list, list]:
         """(base spans, learned spans) as (start, place of the kind, kind, end)."""
@@ -184,14 +303,14 @@ class SecretModel:
         points = np.cumsum((raw & 0xC0) != 0x80)
         found = []
         for a, b in zip((points[starts] - 1).tolist(), points[ends - 1].tolist(), strict=True):
-            token, fixed = text[a:b], len(base)
+            token = text[a:b]
             base += [(a + m.start(), 1, "access", a + m.end()) for m in ACCESS.finditer(token) if len(m[0]) >= 18]
             base += [(a + m.start(), 2, "hex", a + m.end()) for m in HEX.finditer(token) if len(m[0]) >= 16]
-            if len(base) == fixed and (name := self.kind(token)):
-                found.append((a, 3, name, b))
+            found += [(a + x, 3, name, a + y) for x, y, name in self.learned(token)]
         base.sort()
+        # what a base span holds is known; one that reaches beyond it is reported too
         first, last = [s[0] for s in base], list(accumulate((s[3] for s in base), max))
-        found = [f for f in found if not (n := bisect_left(first, f[3])) or last[n - 1] <= f[0]]
+        found = [f for f in found if not (n := bisect_right(first, f[0])) or last[n - 1] < f[3]]
         return base, found
 
     def report(self, texts: list[str | None]) -> pd.DataFrame:
