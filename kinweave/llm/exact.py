@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, join_hot
+from .common import SPACE, Scratch, as_row, join_hot, may_be_in
 
 #: Fingerprints that a sender holds: the least, the most, and the number of senders beyond which they grow.
 ROWS_PER_SENDER, MOST_PER_SENDER, SENDERS = 50_000, 1_000_000, 4096
@@ -99,11 +99,10 @@ def find(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, n_points, h, text_sha256, keep_id, group_size, kept."""
     hold = Scratch(docs.sparkSession)
     rows = suspects(hold.save(_fingerprints(docs), "rows"), hold)
-    some = rows.filter("suspect").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(some, F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = texts.withColumn("bare", F.regexp_replace("text", SPACE, ""))
-    texts = texts.filter(F.xxhash64("bare") == F.col("_h"))
+    # what no suspect's fingerprint can be stays where it is
+    suspected = may_be_in(rows.filter("suspect").select("h").distinct(), "h")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bare", F.regexp_replace("text", SPACE, ""))
+    texts = texts.filter(suspected(F.xxhash64("bare")))
     # the bytes themselves are the key; equal texts of a task are counted before they are shuffled
     first = F.struct((-F.length("text")).alias("n"), "doc_id")
     groups = texts.groupBy("bare").agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("keep"))
@@ -120,17 +119,21 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """`docs` without the copies that find() drops, all columns kept."""
-    found = find(docs)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_again"), F.col("n_points").alias("_n")).distinct()
-    gone = Scratch(docs.sparkSession).save(gone, "gone")
-    same = docs.withColumn("_hash", F.xxhash64(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "")))
-    points = F.length(F.coalesce("text", F.lit("")))
-    hit = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (points == F.col("_n"))
-    rest = same.join(gone.filter("not _again"), hit, "left_anti")
-    again = gone.filter("_again")
-    if again.isEmpty():
-        return rest.select(*docs.columns)
-    # a doc_id whose kept row is repeated: the repeats collapse into one
-    twice = rest.join(again, hit, "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return rest.join(again, hit, "left_anti").unionByName(twice).select(*docs.columns)
+    """`docs` without the copies that find() drops, all columns kept, whatever their names.
+
+    Only rows that a filter takes for dropped ones are shuffled, to be compared with these."""
+    hold, text = Scratch(docs.sparkSession), F.coalesce("text", F.lit(""))
+    gone = find(docs).filter("not kept").select("doc_id", "h", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again"), "n_points").distinct()
+    gone = hold.save(gone.withColumn("key", F.xxhash64("doc_id", "n_points")), "gone")
+    dropped = may_be_in(gone.select("key"), "key")
+    rows = docs.select(as_row(docs), "doc_id", F.length(text).cast("long").alias("n_points"))
+    rows = rows.withColumn("asked", dropped(F.xxhash64("doc_id", "n_points")))
+    some = rows.filter("asked").withColumn("h", F.xxhash64(F.regexp_replace(F.coalesce("row.text", F.lit("")), SPACE, "")))
+    same = F.col("doc_id").eqNullSafe(F.col("_g.doc_id")) & (F.col("h") == F.col("_g.h")) & (F.col("n_points") == F.col("_g.n_points"))
+    of = lambda df: df.select(F.struct("doc_id", "h", "n_points").alias("_g"))
+    stay = some.join(of(gone.filter("not again")), same, "left_anti")
+    again = of(gone.filter("again"))
+    # of a kept row that is repeated one stays
+    once = stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "h"])
+    kept = rows.filter("not asked").select("row").unionByName(stay.join(again, same, "left_anti").select("row")).unionByName(once.select("row"))
+    return kept.select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, word_count
+from .common import SPACE, Scratch, as_row, word_count
 
 #: Primes above any number of blocks in a shard, so that k -> a*k+c permutes the blocks.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
@@ -73,17 +73,17 @@ def targets(sources: DataFrame, weights=(3, 1, 2), share=1.5, cap=2.0) -> DataFr
     return s.withColumn("target", F.least(F.col("w") * F.lit(level), top).cast("double"))
 
 
-def plan(docs: DataFrame, weights=(3, 1, 2), share=1.5, cap=2.0, block_tokens=128, shard_tokens=65536, max_shards=4096, seed=17) -> DataFrame:
+def plan(docs: DataFrame, weights=(3, 1, 2), share=1.5, cap=2.0, block_tokens=128, shard_tokens=65536, seed=17) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, and what selects its blocks
     (start, shard_size, blocks, quota, mul, add) with `thash`, a hash of the text.
 
-    Each shard is one window of at most size/shards tokens of documents; shards grow in number with the
-    source, so a hot source spreads over many tasks."""
+    Each shard is one window. A source of n words has n/`shard_tokens` of them, from `shard_tokens`**2 words on the root of n:
+    then shards grow as fast in size as in number, so neither a shard nor the list of a source's shards becomes the large one."""
     spark = docs.sparkSession
     hold = Scratch(spark)
     sizes = hold.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("thash")), "sizes")
     src = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    src = src.withColumn("shards", F.least(F.greatest(F.ceil(F.col("source_size") / shard_tokens), F.lit(1)), F.lit(max_shards)).cast("int"))
+    src = src.withColumn("shards", F.greatest(F.ceil(F.least(F.col("source_size") / shard_tokens, F.sqrt("source_size"))), F.lit(1)).cast("long"))
     src = hold.save(src, "targets")
     # one row per source; sent whole to the tasks only while that is provably small
     side = F.broadcast(src) if src.limit(20_001).count() <= 20_000 else src
@@ -115,18 +115,19 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents, with the columns of `docs`: the words of a document that are taken once or more,
     then those taken twice, and so on, each as a row of its own with its text (whole where all is taken).
     n_chars, where there is one, is that text's length. Rows equal in doc_id and text share one selection."""
-    spark = docs.sparkSession
     chosen = plan(docs, **how).filter("taken > 0").withColumn("_b", F.expr(BLOCKS))
-    chosen = chosen.groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_th")).agg(F.min_by(F.struct("_b", "start", "size"), F.struct("start", "source", "shard")).alias("_p"))
-    cols = docs.columns
-    both = docs.withColumn("_h", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
-    both = both.withColumn("_pass", F.explode(F.expr("sequence(1L, array_max(transform(_p._b, b -> b.times)))")))
-    both = both.withColumn("_in", F.expr("filter(_p._b, b -> b.times >= _pass and b.hi > b.lo)"))
+    chosen = chosen.groupBy("doc_id", "thash").agg(F.min_by(F.struct("_b", "start", "size"), F.struct("start", "source", "shard")).alias("p"))
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("thash").alias("its"), "p")
+    rows = docs.select(as_row(docs), "doc_id", F.xxhash64("text").alias("thash"))
+    both = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("thash") == F.col("its"))).select("row", "p")
+    both = both.withColumn("pass", F.explode(F.expr("sequence(1L, array_max(transform(p._b, b -> b.times)))")))
+    both = both.withColumn("inside", F.expr("filter(p._b, b -> b.times >= pass and b.hi > b.lo)"))
     # pieces of a word and the space after it; the first piece also holds what stands before the first word
-    both = both.withColumn("_w", F.regexp_extract_all("text", F.lit(rf"({SPACE}*[^\x20\x09-\x0D]+)"), 1))
-    whole = F.expr("aggregate(_in, 0L, (a, b) -> a + b.hi - b.lo) = _p.size")
-    text = F.expr("trim(array_join(flatten(transform(_in, b -> slice(_w, cast(b.lo - _p.start + 1 as int), cast(b.hi - b.lo as int)))), ''))")
-    both = both.withColumn("text", F.when(whole, F.col("text")).otherwise(text))
-    if "n_chars" in cols:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*cols)
+    both = both.withColumn("w", F.regexp_extract_all("row.text", F.lit(rf"({SPACE}*[^\x20\x09-\x0D]+)"), 1))
+    whole = F.expr("aggregate(inside, 0L, (a, b) -> a + b.hi - b.lo) = p.size")
+    text = F.expr("trim(array_join(flatten(transform(inside, b -> slice(w, cast(b.lo - p.start + 1 as int), cast(b.hi - b.lo as int)))), ''))")
+    both = both.select("row", F.when(whole, F.col("row.text")).otherwise(text).alias("text"))
+    fields = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        fields["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return both.select(*[fields.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch, join_hot
+from .common import Scratch, as_row, join_hot
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BATCH = 1 << 16
@@ -239,11 +239,11 @@ def drop_near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Rows are told apart by a number of their own, so null and repeated ids take no other row with them. SimHash bits do
     not serve here: at a similarity of 0.8 they differ in about 10 of 64, and blocks for that distance are a few bits wide."""
     hold = Scratch(docs.sparkSession)
-    rows = hold.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    below = hold.save(components(similar_pairs(rows.select("_row", "text"), hold, least), hold), "below")
+    rows = hold.save(docs.select(as_row(docs), F.monotonically_increasing_id().alias("_row")), "rows")
+    below = hold.save(components(similar_pairs(rows.select("_row", F.col("row.text").alias("text")), hold, least), hold), "below")
     roots = below.unionByName(below.select(F.col("root").alias("node"), "root").distinct())
-    ids = roots.join(rows.select(F.col("_row").alias("node"), "doc_id"), "node")
+    ids = roots.join(rows.select(F.col("_row").alias("node"), F.col("row.doc_id").alias("doc_id")), "node")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node"))
     stay = ids.groupBy("root").agg(F.min(order)["node"].alias("node"))
     gone = hold.save(roots.join(stay, "node", "left_anti").select(F.col("node").alias("_row")), "gone")
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    return rows.join(gone, "_row", "left_anti").select("row.*")
