@@ -39,15 +39,16 @@ def _record(*lines, block) -> F.Column:
     return F.concat(head, F.lit(END), block)
 
 
-def write(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000) -> None:
+def write(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000, file_bytes: int = 256 << 20) -> None:
     """Archives of request, response (or revisit) and metadata records for each row of page_id, url, html.
 
-    Payloads are shuffled once, by their digest; a digest that many rows share is split by the join."""
+    Payloads are shuffled once, by their digest; a digest that many rows share is split by the join. A file ends after
+    `records_per_file` records, fewer where the longest payload would bring it over `file_bytes` before packing (three
+    records at least). A reader's task holds one packed file, so no payload may come near 2 GB."""
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", "%0A").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     first = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("f"))
     first = first.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"))
-    # the small columns meet first; html follows only where a row isn't a revisit
     rows = rows.join(first, "digest", "left")
     again = (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
@@ -77,7 +78,9 @@ def write(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-01
         block=F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")),
     )
     out = rows.select(F.explode(F.array(request, F.when(F.col("again"), revisit).otherwise(response), metadata)).alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    most = max(3, min(records_per_file, 3 * (file_bytes // (longest + 4096))))
+    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
@@ -186,7 +189,8 @@ def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
 def captures(pages: DataFrame, least: int = 100, **how) -> DataFrame:
     """Writes `pages`, reads the archives back, and returns page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit's payload is that of the response it refers to."""
+    A revisit's payload is that of the response it refers to. Page ids keep their type, strings and decimals too; an empty
+    string as id is read back as null. Extra columns are not read."""
     spark = pages.sparkSession
     hold = Scratch(spark)
     write(pages, f"{hold.path}/warc", least, **how)
@@ -195,7 +199,7 @@ def captures(pages: DataFrame, least: int = 100, **how) -> DataFrame:
     page = F.when(F.col("type") == "metadata", F.regexp_extract(F.decode("payload", "utf-8"), r"page-id: *([^\r\n]*)", 1))
     small = hold.save(whole.withColumn("page", page).drop("payload"), "records")
     rows = assemble(small, payload=False)
-    rows = rows.select("capture_id", F.expr("try_cast(nullif(metadata[0].page, '') as bigint)").alias("page_id"), "response.*")
+    rows = rows.select("capture_id", F.expr("nullif(metadata[0].page, '')").cast(pages.schema["page_id"].dataType).alias("page_id"), "response.*")
     rows = rows.select("capture_id", "page_id", "type", "refers_to", "payload_bytes", "found_digest", "payload_digest")
     first = rows.filter("type = 'response'").groupBy(F.col("capture_id").alias("_id")).agg(F.min(F.struct("page_id", "payload_bytes", "found_digest")).alias("_f"))
     first = first.select("_id", F.col("_f.page_id").alias("_page"), F.col("_f.payload_bytes").alias("_bytes"), F.col("_f.found_digest").alias("_digest"))
