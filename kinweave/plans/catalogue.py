@@ -278,9 +278,52 @@ def exact_u_birth_year(p):
 
 @query(None, "person_row")
 def em_person_similarity(p):
-    """Estimated by EM: no SQL form; tested for monotone weights and against planted matches."""
-    u = {c.name: [lev.u for lev in reversed(c.levels)] for c in NARROW.comparisons}
-    return linkage.run(cluster.held(linkage.person_features(p)), NARROW, u).withColumn("score", F.round("score", 6))
+    """NARROW rules; m by EM and u from chance pairs: no SQL form; tested for monotone weights and against planted matches."""
+    f = cluster.held(linkage.person_features(p))
+    return linkage.run(f, NARROW, linkage.random_u(f, NARROW)).withColumn("score", F.round("score", 6))
+
+
+# ---- the whole household model ----------------------------------------------------------------------
+
+_HF = f"""p AS (SELECT record_id, source_id, place_id, role, age, {LAST.format('name_as_recorded')} AS s, {FIRST.format('name_as_recorded')} AS f0 FROM {{person_row}}),
+    q AS (SELECT p.*, coalesce(c, f0) AS f FROM p LEFT JOIN canon ON name = f0),
+    m AS (SELECT record_id, s, row_number() OVER (PARTITION BY record_id ORDER BY count(*) DESC, s) AS rn FROM p GROUP BY record_id, s),
+    hf AS (SELECT q.record_id, q.source_id, q.place_id, m.s AS surname, {soundex_sql('m.s')} AS code,
+      list(DISTINCT f) FILTER (WHERE role IN ('head', 'spouse') OR age > 20) AS adult_forenames,
+      list(DISTINCT f) FILTER (WHERE coalesce(role, '') NOT IN ('head', 'spouse') AND age <= 20) AS child_forenames_young,
+      list(DISTINCT f) FILTER (WHERE coalesce(role, '') NOT IN ('head', 'spouse') AND age > 20) AS child_forenames_older
+      FROM q JOIN m ON q.record_id = m.record_id AND m.rn = 1 GROUP BY q.record_id, q.source_id, q.place_id, m.s)"""
+
+
+def _set_gamma(name: str) -> str:
+    """Levels of two sets' overlap, in SQL."""
+    share = f"len(list_intersect(l.{name}, r.{name})) / least(len(l.{name}), len(r.{name}))"
+    return f"CASE WHEN l.{name} IS NULL OR r.{name} IS NULL THEN -1 WHEN {share} >= 1 THEN 2 WHEN {share} >= 0.5 THEN 1 ELSE 0 END AS gamma_{name}"
+
+
+@query(
+    f"""WITH {CANON}, {_HF},
+    surnames AS (SELECT DISTINCT surname FROM hf), alike AS (SELECT a.surname AS x, b.surname AS y, round(jaro_winkler_similarity(a.surname, b.surname), 9) AS jw FROM surnames a, surnames b),
+    g AS (SELECT CASE WHEN l.place_id = r.place_id THEN 0 WHEN l.code = r.code THEN 1 ELSE 2 END AS match_key,
+      CASE WHEN l.surname = r.surname THEN 3 WHEN jw >= 0.92 THEN 2 WHEN jw >= 0.80 THEN 1 ELSE 0 END AS gamma_household_surname_norm,
+      {_set_gamma('adult_forenames')}, {_set_gamma('child_forenames_young')}, {_set_gamma('child_forenames_older')},
+      CASE WHEN l.place_id = r.place_id THEN 1 ELSE 0 END AS gamma_place_id
+      FROM hf l JOIN hf r ON l.source_id < r.source_id AND (l.place_id = r.place_id OR l.code = r.code OR substring(l.surname, 1, 4) = substring(r.surname, 1, 4)) JOIN alike ON x = l.surname AND y = r.surname)
+    SELECT *, count(*) AS n FROM g GROUP BY ALL""",
+    "person_row",
+)
+def gamma_household(p):
+    """Level patterns of all candidate pairs of households: three blocking rules, five comparisons."""
+    f = cluster.held(linkage.household_features(p))
+    pairs = linkage.compare(linkage.block(f, linkage.HOUSEHOLD), linkage.HOUSEHOLD)
+    return linkage.patterns(pairs, linkage.HOUSEHOLD).withColumnRenamed("count", "n")
+
+
+@query(None, "person_row")
+def record_similarity(p):
+    """Household pairs of all sources by the whole model: m by EM, u from chance pairs; no SQL form."""
+    f = cluster.held(linkage.household_features(p))
+    return linkage.run(f, linkage.HOUSEHOLD, linkage.random_u(f, linkage.HOUSEHOLD)).withColumn("score", F.round("score", 6))
 
 
 @query(
