@@ -685,17 +685,30 @@ def _all(p, link, rows, e, rel, sim):
 _SIX = ("person", "link", "person_row", "event", "relationship", "similarity")
 
 
-@query(
-    f"""WITH {_GAPS}, act AS (SELECT person_id FROM {{person}} WHERE status = 'active'),
-    x AS (SELECT l.person_id, l.recorded_person_id, p.record_id, p.source_id, CAST(substring(p.date, 1, 4) AS int) AS y FROM {{link}} l JOIN {{person_row}} p ON l.recorded_person_id = p.recorded_person_id)
-    SELECT 'merge_error_candidate' AS finding_type, count(*) AS n FROM (SELECT 1 FROM x JOIN act USING (person_id) GROUP BY person_id, source_id HAVING count(DISTINCT record_id) > 1) HAVING count(*) > 0
-    UNION ALL SELECT 'split_person_candidate', count(*) FROM (SELECT parent FROM gaps WHERE gender = 'F' AND gap > 50 GROUP BY 1 HAVING count(DISTINCT child) >= 2) HAVING count(*) > 0
-    UNION ALL SELECT 'parent_age_regression', count(*) FROM gaps WHERE gap < 0 HAVING count(*) > 0""",
-    *_SIX,
-)
+@query(None, *_SIX)
 def review_summary(p, link, rows, e, rel, sim):
-    kinds = ("merge_error_candidate", "split_person_candidate", "parent_age_regression")
-    return findings.summary(_all(p, link, rows, e, rel, sim).filter(F.col("finding_type").isin(*kinds)))
+    return findings.summary(_all(p, link, rows, e, rel, sim))
+
+
+#: The query of each finding; its rows are the findings of the type.
+_FINDINGS = {
+    "merge_error_candidate": "merge_error",
+    "birth_singularity_violation": "birth_singularity",
+    "death_singularity_violation": "death_singularity",
+    "life_event_sequence_violation": "event_sequence",
+    "split_person_candidate": "split_person",
+    "marriage_age_implausible": "marriage_age",
+    "lifespan_boundary_violated": "lifespan",
+    "unlinked_recorded_person": "unlinked",
+    "single_census_appearance": "single_census",
+    "unlinked_in_populated_household": "mixed_households",
+}
+SQL["review_summary"] = " UNION ALL ".join(
+    [
+        *(f"SELECT '{kind}' AS finding_type, count(*) AS n FROM ({SQL[name]}) HAVING count(*) > 0" for kind, name in _FINDINGS.items()),
+        f"SELECT kind, count(*) FROM ({SQL['parent_age']}) GROUP BY kind",
+    ]
+)
 
 
 @query(None, *_SIX)
@@ -869,12 +882,12 @@ def born_abroad(rows):
 
 
 @query(
-    """WITH v AS (SELECT e.event_id, count(DISTINCT p.record_id) AS votes FROM {event} e JOIN {link} l ON l.person_id = e.person_id JOIN {recorded_person} p ON p.recorded_person_id = l.recorded_person_id WHERE p.record_id % 3 <> e.event_id % 10 GROUP BY 1)
+    """WITH v AS (SELECT e.event_id, count(DISTINCT p.record_id) AS votes FROM {event} e JOIN {link} l ON l.person_id = e.person_id JOIN {recorded_person} p ON p.recorded_person_id = l.recorded_person_id GROUP BY 1)
     SELECT e.event_id, e.person_id, e.type, coalesce(votes, 0) AS votes, row_number() OVER (PARTITION BY e.person_id, e.type ORDER BY coalesce(votes, 0) DESC, e.event_id) AS rank FROM {event} e LEFT JOIN v ON v.event_id = e.event_id""",
     "event", "link", "recorded_person",
 )
 def event_votes(e, link, rows):
-    shown = e.select("event_id", "person_id").join(link, "person_id").join(rows.select("recorded_person_id", "record_id"), "recorded_person_id").filter("record_id % 3 <> event_id % 10")
+    shown = e.select("event_id", "person_id").join(link, "person_id").join(rows.select("recorded_person_id", "record_id"), "recorded_person_id")
     return events.vote_counts(e, shown.select("event_id", "record_id")).select("event_id", "person_id", "type", F.col("votes").cast("long").alias("votes"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -933,13 +946,14 @@ def person_page(p, rows, link):
 
 
 @query(
-    """WITH e AS (SELECT person_id_1 AS u, person_id_2 AS v FROM {relationship} UNION SELECT person_id_2, person_id_1 FROM {relationship}), s AS (SELECT person_id AS node FROM {person} WHERE person_id % 1200 = 1),
+    """WITH e AS (SELECT person_id_1 AS u, person_id_2 AS v FROM {relationship} UNION SELECT person_id_2, person_id_1 FROM {relationship}), s AS (SELECT person_id AS node FROM {person} WHERE status = 'merged'),
     a AS (SELECT DISTINCT v AS node FROM s JOIN e ON u = node), b AS (SELECT DISTINCT v AS node FROM a JOIN e ON u = node)
     SELECT node, min(degree) AS degree FROM (SELECT node, 0 AS degree FROM s UNION ALL SELECT node, 1 FROM a UNION ALL SELECT node, 2 FROM b) GROUP BY node""",
     "relationship", "person",
 )
 def relatives_within_two(rel, p):
-    return cluster.degrees(rel, p.filter("person_id % 1200 = 1").select(F.col("person_id").alias("node")), 2, "person_id_1", "person_id_2")
+    """Who stands near the merged persons."""
+    return cluster.degrees(rel, p.filter("status = 'merged'").select(F.col("person_id").alias("node")), 2, "person_id_1", "person_id_2")
 
 
 @query(
