@@ -193,43 +193,126 @@ def band_keys(text: str | None, bands: int = 24, rows: int = 4, seed: int = 11)
     return np.array([xxhash.xxh64_intdigest(low[k * rows : (k + 1) * rows].tobytes(), k) for k in range(bands)], np.uint64).view(np.int64)
 
 
-def _pairs(keyed: DataFrame, hold: Scratch, name: str, direct: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the rows that share a key, and the keys of more than `direct` rows: of those, each row is only paired
-    with one of them, picked by a hash of key and row."""
-    first = F.min(F.struct(F.xxhash64("key", "_row").alias("by"), "_row"))["_row"].alias("lead")
-    groups = hold.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1"), name)
-    large = groups.filter(F.col("n") > direct)
-    listed = keyed.join(groups.filter(F.col("n") <= direct).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("_row")).alias("x"))
-    near = listed.select(F.explode("x").alias("a"), "x").select("a", F.explode(F.filter("x", lambda y: y > F.col("a"))).alias("b"))
-    star = join_hot(keyed.select("key", "_row"), large, "key", "n", keyed.count()).filter("_row <> lead")
-    return near.unionByName(star.select(F.least("_row", "lead").alias("a"), F.greatest("_row", "lead").alias("b"))), large.select("key", "n")
-
-
-def similar_pairs(rows: DataFrame, hold: Scratch, least: float = 0.8, direct: int = 32) -> DataFrame:
-    """Edges (a, b) between rows (_row, text) whose shingle sets have a similarity of `least`.
-
-    A group is the rows that share a band's key. Up to `direct` rows are compared pair by pair. In a larger one each is
-    compared with one row, picked anew for each band, and the group is cut by the next band's key and treated in the same
-    way once more. So pairs are linear in the rows. The price: a row of large groups that is similar to none of the rows
-    it met there stays without an edge."""
+def link_alike(texts: list[str | None], least: float, ask: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that join what is similar among the texts: each unmet text is compared with all that no earlier one reached.
+
+    With `ask`, only the texts marked there are compared, each with all others, and every link is an edge."""
+    sets = [shingle_set(t) for t in texts]
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    mark = np.zeros(int(flat.max()) + 1, bool)
+
+    def near(i: int) -> np.ndarray:
+        own = flat[starts[i] : starts[i] + size[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[own] = False
+        return both / (size + size[i] - both) >= least
+
+    if ask is not None:
+        return [(int(i), int(j)) for i in np.flatnonzero(ask) for j in np.flatnonzero(near(i)) if i != j]
+    todo, edges = np.ones(len(texts), bool), []
+    for root in range(len(texts)):
+        front = [root] if todo[root] else []
+        todo[root] = False
+        while front and todo.any():
+            i = front.pop()
+            met = np.flatnonzero(near(i) & todo)
+            todo[met] = False
+            edges += [(i, int(j)) for j in met]
+            front += met.tolist()
+    return edges
 
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(t) for t in texts])
+
+def _in_units(units: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) within units (unit, _row, ask) of bounded size, whose texts meet in one task; `ask` as in `link_alike`,
+    null for units to be joined as a whole."""
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["_row"].to_numpy()
+        ask = None if pdf["ask"].isna().any() else pdf["ask"].to_numpy(bool)
+        found = np.array(link_alike(pdf["text"].tolist(), least, ask), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[found.min(axis=1)] if len(found) else [], "b": ids[found.max(axis=1)] if len(found) else []})
+
+    return units.join(rows, "_row").groupBy("unit").applyInPandas(link, "a long, b long")
+
+
+def _by_key(keyed: DataFrame, rows: DataFrame, hold: Scratch, name: str, least: float, direct: int, most: int, bytes_most: int) -> tuple[DataFrame, DataFrame]:
+    """Edges among the rows (_row, size, key) that share a key, and the keys of groups too large for one task, with their
+    rows `n` and bytes `w`: those are left out."""
 
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    listed = hold.save(rows.select("_row", pandas_udf(keys, "array<long>")("text").alias("k")), "signatures")
-    after = F.element_at("k", F.col("i") % F.size("k") + 1)
-    keyed = listed.select("_row", "k", F.explode(F.sequence(F.lit(1), F.size("k"))).alias("i")).select("_row", F.element_at("k", F.col("i")).alias("key"), after.alias("after"))
-    keyed = hold.save(keyed, "keys")
-    pairs, large = _pairs(keyed, hold, "groups", direct)
-    deeper = join_hot(keyed, large, "key", "n", keyed.count()).select("_row", F.xxhash64("key", "after").alias("key"))
-    more, _ = _pairs(hold.save(deeper, "deeper"), hold, "subgroups", direct)
-    pairs = hold.save(pairs.unionByName(more).distinct(), "pairs")
+    groups = hold.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w")).filter("n > 1"), f"{name}groups")
+    small, large = groups.filter(F.col("n") <= direct), groups.filter((F.col("n") > direct) & ((F.col("n") > most) | (F.col("w") > bytes_most)))
+    middle = groups.filter((F.col("n") > direct) & (F.col("n") <= most) & (F.col("w") <= bytes_most))
+    listed = keyed.join(small.select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("_row")).alias("x"))
+    pairs = listed.select(F.explode("x").alias("a"), "x").select("a", F.explode(F.filter("x", lambda y: y > F.col("a"))).alias("b"))
+    pairs = hold.save(pairs.distinct(), f"{name}pairs")
     left, right = rows.select(F.col("_row").alias("a"), F.col("text").alias("ta")), rows.select(F.col("_row").alias("b"), F.col("text").alias("tb"))
     good = pairs.join(left, "a").join(right, "b").filter(pandas_udf(alike, "boolean")("ta", "tb")).select("a", "b")
-    return hold.save(good, "similar")
+    units = keyed.join(middle.select("key"), "key").select(F.col("key").alias("unit"), "_row", F.lit(None).cast("boolean").alias("ask"))
+    return good.unionByName(_in_units(units, rows, least)), large
+
+
+def _huge(members: DataFrame, large: DataFrame, edges: DataFrame, rows: DataFrame, hold: Scratch, least: float, most: int, bytes_most: int) -> DataFrame:
+    """Edges within the groups `large` of `members` (_row, size, key), however large.
+
+    A group is dealt into pieces, each joined in a task of its own. What then still lies outside the group's largest
+    component is compared, piece by piece, with the whole group. So no link is lost, and a group costs its rows
+    times its pieces of strays, which is once where all but a few are copies of one another."""
+    deal = lambda n, w: F.greatest(F.ceil(F.col(n) / F.lit(most)), F.ceil(F.col(w) / F.lit(bytes_most))).cast("long")
+    place = lambda of: F.pmod(F.xxhash64("key", "_row"), F.col(of))
+    whole = join_hot(members, large.withColumn("pieces", deal("n", "w")), "key", "n", members.count())
+    whole = hold.save(whole.select("key", "_row", "size", "n", "pieces", place("pieces").alias("piece")), "huge")
+    parts = whole.select(F.xxhash64("key", "piece").alias("unit"), "_row", F.lit(None).cast("boolean").alias("ask"))
+    edges = hold.save(edges.unionByName(_in_units(parts, rows, least)), "parted")
+    below = hold.save(components(edges, hold), "parts")
+    rooted = whole.join(below.withColumnRenamed("node", "_row"), "_row", "left").withColumn("root", F.coalesce("root", "_row"))
+    rooted = hold.save(rooted, "rooted")
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("c"), F.sum("w").alias("all"), F.max_by("w", F.struct("c", "root")).alias("w"))
+    main = main.filter("c < n").select("key", "main", F.col("n").alias("rows"), (F.col("n") - F.col("c")).alias("strays"), (F.col("all") - F.col("w")).alias("stray_bytes"))
+    main = hold.save(main.withColumn("turns", deal("strays", "stray_bytes")), "strays")
+    if main.isEmpty():
+        return edges
+    met = hold.save(join_hot(rooted, main, "key", "rows", rooted.count()), "met")
+    turn = F.pmod(F.xxhash64("_row", "key"), F.col("turns"))
+    unit = F.xxhash64("key", "turn", "piece").alias("unit")
+    asking = met.filter("root <> main").select("key", "_row", turn.alias("turn"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("ask"))
+    asked = met.select("key", "_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "piece", F.lit(False).alias("ask"))
+    units = asking.unionByName(asked).groupBy(unit, "_row").agg(F.max("ask").alias("ask"))
+    return edges.unionByName(_in_units(units, rows, least))
+
+
+def similar_pairs(rows: DataFrame, hold: Scratch, least: float = 0.8, direct: int = 32, most: int = 2048, bytes_most: int = 1 << 23) -> DataFrame:
+    """Edges (a, b) between rows (_row, text) whose shingle sets have a similarity of `least`, enough to join all that link.
+
+    A group is the rows that share a band's key. Up to `direct` rows are compared pair by pair, larger groups in one task,
+    where a row that has been reached is not compared again. Rows of groups beyond `most` rows or `bytes_most` bytes are
+    keyed anew by 64 bands of eight values, by which texts of similarity 0.8 meet but for a chance of 8e-6 and others seldom;
+    groups that are still too large are dealt over tasks (`_huge`)."""
+
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(t) for t in texts])
+
+    def fine_keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(t, bands=64, rows=8, seed=29) for t in texts])
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
+    keyed = hold.save(rows.select("_row", size, F.explode(pandas_udf(keys, "array<long>")("text")).alias("key")), "keys")
+    edges, large = _by_key(keyed, rows, hold, "", least, direct, most, bytes_most)
+    edges = hold.save(edges, "edges")
+    if large.isEmpty():
+        return edges
+    again = join_hot(keyed.select("_row", "key"), large.select("key", "n"), "key", "n", keyed.count()).select("_row").distinct()
+    fine = again.join(rows, "_row").select("_row", size, F.explode(pandas_udf(fine_keys, "array<long>")("text")).alias("key"))
+    fine = hold.save(fine, "finekeys")
+    more, huge = _by_key(fine, rows, hold, "fine", least, direct, most, bytes_most)
+    edges = hold.save(edges.unionByName(more), "fineedges")
+    return edges if huge.isEmpty() else hold.save(_huge(fine, huge, edges, rows, hold, least, most, bytes_most), "similar")
 
 
 def drop_near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -59,3 +59,54 @@ def test_null_and_repeated_ids(spark):
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.text) for r in kept if not (r.text or "").startswith(c)} == {(1, a), (None, lone), (2, b + " x"), (7, other)}
     assert len(kept) == 5
+
+
+def classes(rows, edges):
+    linked = {(rows[a][1], rows[b][1]) for a, b in edges}
+    return brute.linked(rows, lambda x, y: (x, y) in linked or (y, x) in linked)
+
+
+def one_cluster(seed=8):
+    """Copies of one text, others that share a long part with it, and texts that link to a copy only; far above any limit."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for k in range(90):
+        copy = list(base)
+        start = 0 if k % 3 else 60
+        for at in rng.sample(range(start, 120), 1 if k % 3 else 2):
+            copy[at] = f"n{rng.random()}"
+        out.append(copy if k % 5 else base[:70] + [f"o{rng.random()}" for _ in range(rng.randint(5, 60))])
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_no_link_is_lost_in_groups_of_any_size(spark):
+    """The classes are those of brute force where groups are compared by pairs, in one task, keyed anew, and dealt over tasks."""
+    small = {"direct": 2, "most": 6}
+    for rows, ways in ((planted(), [{"direct": 2}]), (one_cluster(), [{}, small, {"direct": 2, "bytes_most": 9000}])):
+        df = spark.createDataFrame(rows, "_row long, text string")
+        want = brute.linked(rows, near)
+        for limits in ways:
+            edges = [(r.a, r.b) for r in simhash.similar_pairs(df, simhash.Scratch(spark), **limits).collect()]
+            assert all(near(rows[a][1], rows[b][1]) for a, b in edges)
+            assert classes(rows, edges) == want, limits
+
+
+def test_texts_in_one_task():
+    rows = planted()[:60] + [(60, None), (61, ""), (62, " \n")]
+    texts = [t for _, t in rows]
+    edges = simhash.link_alike(texts, 0.8)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    assert classes(rows, edges) == brute.linked(rows, near)
+    assert len(edges) < len(texts)
+
+
+def test_one_huge_group_is_dealt_over_tasks(spark):
+    """A group of rows most of which link to none of those they are dealt with: what strays is compared with all."""
+    for rows in (planted()[:40], one_cluster()[:40]):
+        df = spark.createDataFrame(rows, "_row long, text string")
+        members = df.selectExpr("_row", "cast(octet_length(text) as long) as size", "7L as key")
+        large = members.groupBy("key").agg({"*": "count", "size": "sum"}).toDF("key", "n", "w")
+        none = df.selectExpr("_row as a", "_row as b").filter("a < 0")
+        edges = simhash._huge(members, large, none, df, simhash.Scratch(spark), 0.8, most=6, bytes_most=1 << 20)
+        assert classes(rows, [(r.a, r.b) for r in edges.collect()]) == brute.linked(rows, near)
