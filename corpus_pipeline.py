@@ -25,8 +25,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts (five-word shingles, 0.8) the smallest doc_id stays, null last; of equal ids any one."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of texts whose SimHash fingerprints link at two or fewer bits the smallest doc_id stays, null last; of equal ids any one."""
+    return simhash.drop_linked(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch, as_row, join_hot
+from .common import Scratch, as_row, join_hot, may_be_in
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BATCH = 1 << 16
@@ -167,6 +167,26 @@ def find(docs: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:
     return join_hot(rows, by_fp, "fp", "rows", rows.count()).select("doc_id", "fp", "component_id")
 
 
+def drop_linked(docs: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:
+    """`docs` with exactly one row of each component of rows whose fingerprints link at `distance` or fewer bits: the one of
+    the smallest doc_id, null last, of equal ids any one.
+
+    Rows are told apart by a number of their own, so null and repeated ids take no other row with them. Fingerprints
+    alone are shuffled; of the rows with their texts only those that a filter takes for dropped ones are."""
+    hold = Scratch(docs.sparkSession)
+    numbered = docs.select(as_row(docs), F.monotonically_increasing_id().alias("_row"))
+    numbered = hold.save(numbered.select("row", "_row", fingerprint("row.text").alias("fp")), "rows")
+    rows = numbered.select("_row", "fp", F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("_row")).alias("order"))
+    distinct = hold.save(rows.groupBy("fp").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
+    roots = components(hold.save(links(distinct, distance, blocks), "links"), hold)
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
+    stay = named.groupBy("root").agg(F.min("first")["_row"].alias("stay"), F.sum("rows").alias("all")).filter("all > 1")
+    by_fp = hold.save(named.join(stay, "root").select("fp", "rows", "stay"), "stay")
+    gone = hold.save(join_hot(rows.select("_row", "fp"), by_fp, "fp", "rows", rows.count()).filter("_row <> stay").select("_row"), "gone")
+    asked = numbered.withColumn("asked", may_be_in(gone, "_row")("_row"))
+    return asked.filter("not asked").unionByName(asked.filter("asked").join(gone, "_row", "left_anti")).select("row.*")
+
+
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted distinct XXH64 of a text's shingles; a text without words has the one element 0."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
