@@ -28,6 +28,10 @@ def test_priority_rank_in_small_plans(spark, monkeypatch):
     assert most_joins(spark, monkeypatch, "priority_rank") <= 10
 
 
+def test_review_summary_in_small_plans(spark, monkeypatch):
+    assert most_joins(spark, monkeypatch, "review_summary") <= 10
+
+
 def test_held_leaves_no_shuffle(spark):
     """What was shuffled for a held table goes with the query that wrote it; the session's setting stays as it was."""
     left = lambda: spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
