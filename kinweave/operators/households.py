@@ -29,12 +29,12 @@ def members_ordered(persons: DataFrame) -> DataFrame:
 
 def match_score(pairs: DataFrame) -> DataFrame:
     """Adds `score` to pairs with role_k, name_k, age_k, sex_k, source_k for k 1 and 2."""
-    pairs = X.with_similarity(pairs.withColumn("_a", F.trim("name_1")).withColumn("_b", F.trim("name_2")), "_a", "_b", "_jw")
+    pairs = X.with_similarity(pairs.withColumn("_a", F.trim("name_1")).withColumn("_b", F.trim("name_2")), "_a", "_b", "_jw", NAME_THRESHOLD)
     off = F.abs(F.abs(F.col("age_2") - F.col("age_1")) - F.abs(census_year(F.col("source_2")) - census_year(F.col("source_1"))))
     set_1, set_2 = (F.coalesce(F.trim(f"sex_{k}"), F.lit("")) for k in (1, 2))
     sex = F.when((set_1 != "") & (set_2 != ""), F.when(F.upper(set_1) == F.upper(set_2), 0.2).otherwise(0.0)).when((set_1 == "") & (set_2 == ""), 0.1).otherwise(0.0)
     parts = (
-        F.when(F.col("role_1").eqNullSafe(F.col("role_2")), 0.3).otherwise(0.0), F.when(F.col("_jw") >= NAME_THRESHOLD, 0.3).otherwise(0.0),
+        F.when(F.col("role_1").eqNullSafe(F.col("role_2")), 0.3).otherwise(0.0), F.when(F.col("_jw").isNotNull(), 0.3).otherwise(0.0),
         F.when(off <= 2, 0.2).when(off <= 5, 0.1).otherwise(0.0), sex,
     )
     return pairs.withColumn("score", F.round(sum(parts[1:], parts[0]), 6)).drop("_a", "_b", "_jw")
@@ -102,7 +102,7 @@ def resolve_relationships(household_pairs: DataFrame, persons: DataFrame, links:
     order; components are independent. A match links its second recorded person to the first one's person
     (else the reverse, else a new one), unless the person has one of that source already or the ages do not
     fit. An orphan is linked; one with another person is moved (`overwrite`) or left (`keep_existing`)."""
-    from .cluster import connected_components
+    from .cluster import connected_components, held
 
     good = household_pairs.filter(F.col("score") >= threshold)
     matches = greedy_matches(member_pairs(good.select("record_id_1", "record_id_2"), persons))
@@ -110,12 +110,17 @@ def resolve_relationships(household_pairs: DataFrame, persons: DataFrame, links:
     info = lambda k: persons.select(F.col("recorded_person_id").alias(f"id_{k}"), F.col("age").alias(f"age_{k}"), F.col("source_id").alias(f"source_{k}"))
     rows = matches.join(info(1), "id_1").join(info(2), "id_2")
     rows = rows.withColumn("ages", age_valid(F.col("age_1"), F.col("source_1"), F.col("age_2"), F.col("source_2")))
-    # matches that meet in a person, directly or through links, are one component
-    link = links.select(F.col("recorded_person_id").alias("a"), (-F.col("person_id") - 1).alias("b"))
-    part = connected_components(rows.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).unionByName(link), "a", "b")
-    todo = rows.join(part, F.col("id_1") == F.col("node")).select("component", "score", "match", "record_id_1", "record_id_2", "id_1", "id_2", "source_1", "source_2", "ages")
-    touched = todo.select(F.col("component").alias("part")).distinct()
-    known = links.join(persons.select("recorded_person_id", "source_id"), "recorded_person_id").join(part, F.col("recorded_person_id") == F.col("node")).select(F.col("component").alias("part"), "person_id", "recorded_person_id", F.col("score").alias("link_score"), "source_id").join(touched, "part", "left_semi")
+    rows = held(rows.select("score", "match", "record_id_1", "record_id_2", "id_1", "id_2", "source_1", "source_2", "ages"))
+    # matches that meet in a person, directly or through links, are one component; links of persons without a match stay out of it
+    node = F.col("person_id") * -1 - 1
+    several = links.groupBy("recorded_person_id").agg(F.min("person_id").alias("p"), F.max("person_id").alias("q")).filter("p <> q").select("recorded_person_id")
+    ties = links.join(several, "recorded_person_id").select(F.col("recorded_person_id").alias("a"), node.alias("b"))
+    ends = rows.select(F.explode(F.array("id_1", "id_2")).alias("recorded_person_id")).distinct()
+    ends = ends.join(links, "recorded_person_id").select(F.col("recorded_person_id").alias("a"), node.alias("b"))
+    part = held(connected_components(rows.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).unionByName(ends).unionByName(ties), "a", "b"))
+    todo = rows.join(part, F.col("id_1") == F.col("node")).drop("node")
+    touched = held(todo.select(F.col("component").alias("part")).distinct().join(part, F.col("part") == F.col("component")).filter("node < 0").select("part", (-F.col("node") - 1).alias("person_id")))
+    known = links.join(touched, "person_id").join(persons.select("recorded_person_id", "source_id"), "recorded_person_id", "left").select("part", "person_id", "recorded_person_id", F.col("score").alias("link_score"), "source_id")
 
     def fold(key, matched: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
         of = {r.recorded_person_id: (r.person_id, r.link_score) for r in linked.itertuples()}
@@ -143,7 +148,7 @@ def resolve_relationships(household_pairs: DataFrame, persons: DataFrame, links:
         return pd.DataFrame([(p, rp, float(s)) for rp, (p, s) in of.items()], columns=["person_id", "recorded_person_id", "score"])
 
     folded = todo.groupBy("component").cogroup(known.groupBy("part")).applyInPandas(fold, "person_id long, recorded_person_id long, score double")
-    rest = links.join(known.select("recorded_person_id"), "recorded_person_id", "left_anti").select("person_id", "recorded_person_id", "score")
+    rest = links.join(touched, "person_id", "left_anti").select("person_id", "recorded_person_id", "score")
     return folded.unionByName(rest)
 
 
