@@ -62,10 +62,17 @@ def _sides(df: DataFrame) -> Column:
 
 
 def filter_pairs(pairs: DataFrame, persons: DataFrame) -> DataFrame:
-    """Pairs (id_1, id_2, score) of different sources without violation."""
+    """Pairs (id_1, id_2, score) of different sources without violation.
+
+    Pairs that have name_k, age_k and source_k for k 1 and 2 are not joined with the persons again."""
     side = lambda k: persons.select(F.col("recorded_person_id").alias(f"id_{k}"), F.col("name_as_recorded").alias(f"name_{k}"), F.col("age").alias(f"age_{k}"), F.col("source_id").alias(f"source_{k}"))
-    both = pairs.join(side(1), "id_1").join(side(2), "id_2").filter("source_1 <> source_2")
-    return both.filter(F.size(_sides(both)) == 0).select(*pairs.columns)
+    have = {f"{c}_{k}" for c in ("name", "age", "source") for k in (1, 2)} <= set(pairs.columns)
+    both = (pairs if have else pairs.join(side(1), "id_1").join(side(2), "id_2")).filter("source_1 <> source_2")
+    a, b = F.col("name_1"), F.col("name_2")
+    # no code of `violations`; equal names need no look at them
+    named = F.when(a == b, F.lit(True)).otherwise(gender_consistent(a, b) & names_match(a, b))
+    ages = age_valid(F.col("age_1"), F.col("source_1"), F.col("age_2"), F.col("source_2"))
+    return both.filter(ages & named).select(*pairs.columns)
 
 
 def sweep(links: DataFrame, persons: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import PERSON_RESOLUTION_THRESHOLD
 from ..functions import names as N
 from ..functions import text as X
-from .cluster import connected_components, purge_same_source
+from .cluster import connected_components, forget, held, purge_same_source, star_edges
 from .constraints import filter_pairs
 
 
@@ -39,11 +39,14 @@ def resolve(pairs: DataFrame, persons: DataFrame, threshold: float = PERSON_RESO
     """Links (person_id, recorded_person_id, score) from similar pairs (id_1, id_2, score).
 
     Pairs under the threshold, within a source or against a constraint go before clustering; members that
-    share a source with another of their cluster go after. The person's id is its smallest recorded person."""
+    share a source with another of their cluster go after. Pairs may bring what filter_pairs needs (see there). The person's id is its smallest recorded person."""
     good = filter_pairs(pairs.filter(F.col("score") >= threshold), persons)
-    found = connected_components(good, "id_1", "id_2")
-    members = found.join(persons.select("recorded_person_id", "source_id"), F.col("node") == F.col("recorded_person_id"))
-    kept = purge_same_source(members, "component", "source_id")
-    best = good.select(F.col("id_1").alias("node"), "score").unionByName(good.select(F.col("id_2").alias("node"), "score")).groupBy("node").agg(F.max("score").alias("score"))
+    # pairs are made once and not held: of each task, an edge and the best score per recorded person stay
+    stars = held(star_edges(good.select(F.col("id_1").alias("u"), F.col("id_2").alias("v"), "score"), weight="score"))
+    found = connected_components(stars, "u", "v")
+    best = stars.groupBy(F.col("u").alias("node")).agg(F.max("w").alias("score"))
+    members = found.join(best, "node").join(persons.select("recorded_person_id", "source_id"), F.col("node") == F.col("recorded_person_id"))
+    kept = held(purge_same_source(members, "component", "source_id").select("component", "recorded_person_id", "score"))
+    forget(stars)
     ids = kept.groupBy("component").agg(F.min("recorded_person_id").alias("person_id"))
-    return kept.join(ids, "component").join(best, "node").select("person_id", "recorded_person_id", "score")
+    return kept.join(ids, "component").select("person_id", "recorded_person_id", "score")
