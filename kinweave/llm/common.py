@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words are the runs of characters outside this class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -77,8 +81,15 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, size: str, total: int,
 BLOOM_BITS, BLOOM_HASHES, BLOOM_MOST = 10, 3, 1 << 27
 
 
-def may_be_in(keys: DataFrame, key: str):
-    """A test, as a function of a long column, that holds for all values of `keys[key]` and few others.
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's. As a list of rows it would be read by Python workers of its own in each executor."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds), schema)
+
+
+def bloom(keys: DataFrame, key: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of an array of longs, to be run by tasks, that holds for all values of `keys[key]` and few others.
 
     The filter is made by the tasks, a slice each, and sent to all: up to BLOOM_MOST bits. With so many keys that these fill
     up more values pass; so it only ever spares rows a shuffle and decides nothing."""
@@ -110,9 +121,19 @@ def may_be_in(keys: DataFrame, key: str):
         table[a : a + slice_bits // 8] = np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(table)
 
-    @pandas_udf("boolean")
-    def test(k: pd.Series) -> pd.Series:
-        p = places(k.to_numpy(np.int64))
-        return pd.Series(((sent.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=0))
+    def test(k: np.ndarray) -> np.ndarray:
+        p = places(k)
+        return ((sent.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=0)
 
     return test
+
+
+def may_be_in(keys: DataFrame, key: str):
+    """`bloom` as a function of a long column."""
+    test = bloom(keys, key)
+
+    @pandas_udf("boolean")
+    def of(k: pd.Series) -> pd.Series:
+        return pd.Series(test(k.to_numpy(np.int64)))
+
+    return of

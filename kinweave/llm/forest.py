@@ -12,11 +12,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch, may_be_in
+from .common import Scratch, bloom
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LETTER = re.compile(r"[^\W\d_]+")
@@ -131,6 +133,22 @@ def _features(texts) -> list:
     return [None if rejected(base) else x for base, x in map(statistics, texts)]
 
 
+def _features_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id and x, the features, of the documents that may be among `keys`.
+
+    One pass both asks and counts: as two functions they would take two Python workers in each running task, and
+    executors keep these with all that later queries load in them."""
+    asked = bloom(keys, "key")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            some = batch.filter(pa.array(asked(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([some.column(1), pa.array(_features(some.column(2).to_pylist()), pa.list_(pa.float64()))], names=schema.names)
+
+    return docs.filter("doc_id is not null").select(F.xxhash64("doc_id").alias("key"), "doc_id", "text").mapInArrow(run, schema)
+
+
 def threshold_of_counts(steps: np.ndarray, good: np.ndarray, bad: np.ndarray, most_lost: float) -> float:
     """`threshold` of the scores steps / STEPS, rising, that `good` and `bad` rows have."""
     upto_good, upto_bad = np.cumsum(good), np.cumsum(bad)
@@ -164,8 +182,7 @@ class QualityJudge:
         vector = pandas_udf(lambda s: pd.Series(_features(s)), "array<double>")
         some = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality")
         # documents without a label are left out before features are counted, and no text is shuffled
-        asked = may_be_in(some.select(F.xxhash64("doc_id").alias("key")).distinct(), "key")
-        known = docs.select("doc_id", "text").filter("doc_id is not null").filter(asked(F.xxhash64("doc_id"))).select("doc_id", vector("text").alias("x"))
+        known = _features_of(docs, some.select(F.xxhash64("doc_id").alias("key")).distinct())
         known = hold.save(known.join(some, "doc_id").select("doc_id", "x", (F.col("quality") >= 1).alias("good")), "labelled")
         if known.isEmpty():
             known = hold.save(docs.select("doc_id", vector("text").alias("x"), F.lit(True).alias("good")), "unlabelled")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, few_rows
 
 #: Characters for which both libraries split a text alike; other texts go through `tokenizers` itself.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*")
@@ -348,7 +348,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     counts and one for each half a million pieces. The plan sent back has a few slots per filling."""
     spark = parts.sparkSession
     salts = {r["length"]: _salts(r["count"]) for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
-    named = spark.createDataFrame(list(salts.items()), "length long, _salts int")
+    named = few_rows(spark, list(salts.items()), "length long, _salts int")
     keyed = parts.join(F.broadcast(named), "length").select(*parts.columns, F.pmod(F.xxhash64("doc_id", "piece"), "_salts").cast("int").alias("_salt"))
     sizes = keyed.groupBy("length", "_salt").count().collect()
     by_length: dict[int, dict[int, int]] = defaultdict(dict)
@@ -374,7 +374,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
             base += salted.get(salt, 0)
         rows.append((length, bounds, *map(list, zip(*slots[length], strict=True))))
     # at most `capacity` rows
-    side = spark.createDataFrame(rows, "length long, _bases array<long>, _ranks array<long>, _seqs array<long>, _offs array<int>")
+    side = few_rows(spark, rows, "length long, _bases array<long>, _ranks array<long>, _seqs array<long>, _offs array<int>")
     turn = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *(["ids_crc32"] if "ids_crc32" in parts.columns else [])))
     ranked = keyed.withColumn("_turn", turn - 1).join(F.broadcast(side), "length")
     ranked = ranked.withColumn("_rank", F.col("_turn") + F.element_at("_bases", F.col("_salt") + 1))
