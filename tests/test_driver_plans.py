@@ -32,6 +32,16 @@ def test_review_summary_in_small_plans(spark, monkeypatch):
     assert most_joins(spark, monkeypatch, "review_summary") <= 10
 
 
+def test_review_summary_sends_only_small_tables(spark, monkeypatch):
+    """The driver makes what is sent; the session's setting stays as it was."""
+    limit = lambda: spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    seen, was = [], limit()
+    for module in (cluster, findings):
+        monkeypatch.setattr(module, "held", lambda df, hold=cluster.held: seen.append(limit()) or hold(df))
+    catalogue.QUERIES["review_summary"](spark, SF)
+    assert len(seen) > 12 and max(seen) <= 1 << 18 < was and limit() == was
+
+
 def test_relationship_resolution_in_small_plans(spark, monkeypatch):
     assert most_joins(spark, monkeypatch, "relationship_resolution") <= 14
 
